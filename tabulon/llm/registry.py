@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tabulon.llm import exact_dedup, mixing
+from tabulon.llm import bpe, exact_dedup, mixing, quality_rules
 
-MODULES = [mixing, exact_dedup]
+MODULES = [mixing, exact_dedup, quality_rules, bpe]
 
 
 def queries() -> dict:
