@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tabulon.llm import bpe, exact_dedup, mixing, quality_rules
+from tabulon.llm import bpe, exact_dedup, mixing, quality_rules, simhash
 
-MODULES = [mixing, exact_dedup, quality_rules, bpe]
+MODULES = [mixing, exact_dedup, quality_rules, bpe, simhash]
 
 
 def queries() -> dict:
