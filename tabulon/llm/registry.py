@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tabulon.llm import bpe, exact_dedup, line_dedup, mixing, quality_rules, revisits, simhash
+from tabulon.llm import bpe, exact_dedup, line_dedup, mixing, ordinal, quality_rules, revisits, simhash
 
-MODULES = [revisits, mixing, exact_dedup, quality_rules, bpe, simhash, line_dedup]
+MODULES = [revisits, mixing, exact_dedup, quality_rules, bpe, simhash, line_dedup, ordinal]
 
 
 def queries() -> dict:
