@@ -168,3 +168,12 @@ def batch_rows(spark: SparkSession, rows: int = 512) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, rows)
+
+
+def segment_sum(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of values between consecutive offsets, each added up by itself."""
+    if not len(values):
+        return np.zeros(len(at) - 1, values.dtype)
+    out = np.add.reduceat(values, np.minimum(at[:-1], len(values) - 1))
+    out[np.diff(at) == 0] = 0
+    return out

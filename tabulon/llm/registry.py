@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tabulon.llm import bpe, exact_dedup, line_dedup, mixing, ordinal, quality_rules, revisits, simhash, toxicity
+from tabulon.llm import bpe, exact_dedup, line_dedup, maxent, mixing, ordinal, quality_rules, revisits, simhash, toxicity
 
-MODULES = [revisits, mixing, exact_dedup, quality_rules, bpe, simhash, line_dedup, ordinal, toxicity]
+MODULES = [revisits, mixing, exact_dedup, quality_rules, bpe, simhash, line_dedup, ordinal, toxicity, maxent]
 
 
 def queries() -> dict:
