@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import checkpoint, documents, n_words, small
+from tabulon.llm.common import WORD, checkpoint, documents, n_words, small
 
 #: Key ranges of a source; a power of two up to 2**32.
 RANGES = 4096
@@ -97,7 +97,7 @@ def mix_records(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epoch
 
 
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """The mix itself: documents as often as they are taken, the one at a cut shortened to its words, same columns."""
+    """The mix itself: documents as often as they are taken, the one at a cut as its first words, same columns."""
     names = docs.columns
     rows = checkpoint(docs.select("doc_id", "source", n_words().alias("size"), random_key().alias("key")))
     held = docs.select("doc_id", "source", n_words().alias("size"), random_key().alias("key"), F.struct(*names).alias("_doc"))
@@ -105,7 +105,7 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epo
     rest = F.when(F.col("part") > 0, F.array(F.col("part"))).otherwise(F.array().cast("array<bigint>"))
     d = d.withColumn("_take", F.explode(F.concat(F.array_repeat(F.col("size"), F.col("epochs").cast("int")), rest)))
     text = F.col("_doc.text")
-    head = F.regexp_extract(text, F.concat(F.lit(r"^(?s)((?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]++){"), F.col("_take").cast("string"), F.lit("})")), F.lit(1))
+    head = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), F.col("_take").cast("int")), " ")
     text = F.when(F.col("_take") < F.col("size"), head).otherwise(text).alias("text")
     out = {"text": text}
     if "n_chars" in names:
