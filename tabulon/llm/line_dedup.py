@@ -11,7 +11,7 @@ A run of lines with at least ``min_words`` words that begins earlier elsewhere i
 from every line, at the shortest run forward and the shortest run backward that reach ``min_words``: a longer
 repeated run is the union of these, and each is one interval, named by the ranks of its two overlapping halves. The
 first occurrence in (doc_id, text digest, line) order stays; lines covered by a later copy are deleted, with the
-blank lines among them (so of a line repeated over and over in one text its first place is left). As a shortest
+blank lines between two deleted ones (so of a line repeated over and over in one text its first place is left). As a shortest
 run has at most min_words lines, about log2(min_words) rounds are enough for any corpus.
 
 Only digests, ranks and word counts are shuffled. Texts move once, when they are rewritten.
@@ -95,7 +95,7 @@ def suffix_levels(lines: DataFrame, rounds: int) -> list[DataFrame]:
 
 
 def later_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, th, first_line, last_line: the stretches of lines that are later copies, merged where they touch."""
+    """doc_id, th, first_line, last_line: the stretches of lines that are later copies, merged where worded lines touch."""
     rounds = min_words.bit_length() - 1
     lines = checkpoint(runs(line_rows(docs), min_words))
     levels = suffix_levels(lines, rounds)
@@ -122,11 +122,11 @@ def later_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     interval = ["n", "h1", "o1", "h2", "o2"]
     place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "th", "start")
     first = checkpoint(found.groupBy(*interval).agg(F.min(place).alias("first")))
-    later = found.join(first, interval).filter(place > F.col("first")).select(*_DOC, "first_line", "last_line")
+    later = found.join(first, interval).filter(place > F.col("first")).select(*_DOC, "start", "n", "first_line", "last_line")
 
-    doc = Window.partitionBy(*_DOC).orderBy("first_line", "last_line")
-    upto = F.max("last_line").over(doc.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(F.coalesce(F.col("first_line") > upto + 1, F.lit(True)), F.lit(1)).otherwise(F.lit(0))
+    doc = Window.partitionBy(*_DOC).orderBy("start", "n")
+    upto = F.max(F.col("start") + F.col("n")).over(doc.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(F.coalesce(F.col("start") > upto, F.lit(True)), F.lit(1)).otherwise(F.lit(0))
     merged = later.withColumn("new", new).withColumn("run", F.sum("new").over(doc))
     return merged.groupBy(*_DOC, "run").agg(F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line")).drop("run")
 
@@ -154,7 +154,8 @@ def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 with d as (select doc_id, text, string_split(coalesce(text, ''), chr(10)) as all_lines from documents),
 l0 as (select doc_id, unnest(all_lines) as s, unnest(range(len(all_lines))) as line from d),
-l1 as (select *, len(regexp_extract_all(s, '[^ 	-]+')) as words from l0),
+l1 as (select *, len(regexp_extract_all(s, '[^ 	-
+]+')) as words from l0),
 l as (select *, row_number() over (partition by doc_id order by line) - 1 as pos from l1 where words > 0),
 p as (select *, sum(words) over (partition by doc_id order by pos) as upto, sum(words) over (partition by doc_id) as total from l),
 w as (select *, upto - words as before from p),
@@ -165,7 +166,12 @@ runs as (select doc_id, pos as start, ahead as n from r where total - before >=
 k as (select runs.doc_id, start, n, min(line) as first_line, max(line) as last_line, string_agg(s, chr(10) order by pos) as run
   from runs join l on l.doc_id = runs.doc_id and l.pos between start and start + n - 1 group by all),
 f as (select *, row_number() over (partition by run order by doc_id, start) as nr from k),
-gone as (select distinct l0.doc_id, l0.line from f join l0 on l0.doc_id = f.doc_id and l0.line between first_line and last_line where nr > 1),
+cut as (select distinct l.doc_id, l.line from f join l on l.doc_id = f.doc_id and l.line between first_line and last_line where nr > 1),
+flag as (select l1.doc_id, l1.line, case when words > 0 then (cut.line is not null)::int end as g from l1 left join cut on l1.doc_id = cut.doc_id and l1.line = cut.line),
+gone as (select doc_id, line from flag qualify coalesce(g, least(last_value(g ignore nulls) over (partition by doc_id order by line rows between unbounded preceding and current row),
+  first_value(g ignore nulls) over (partition by doc_id order by line rows between current row and unbounded following))) = 1
+  and (g is not null or (last_value(g ignore nulls) over (partition by doc_id order by line rows between unbounded preceding and current row) is not null
+  and first_value(g ignore nulls) over (partition by doc_id order by line rows between current row and unbounded following) is not null))),
 c as (select l0.doc_id, count(gone.line) as n_deleted, coalesce(string_agg(case when gone.line is null then l0.s end, chr(10) order by l0.line), '') as t
   from l0 left join gone on l0.doc_id = gone.doc_id and l0.line = gone.line group by l0.doc_id)
 select doc_id, n_deleted, sha256(t) as clean_sha256 from c

@@ -32,7 +32,8 @@ WINDOW, STRIDE = 32, 16
 #: Labelled rows of either class that the fit uses at most.
 SAMPLE = 2500
 HELD_OUT = 5
-EPOCHS, BATCH, RATE = 6, 64, 0.01
+#: Adam steps: EPOCHS over the windows, STEPS at least; the rate falls to zero.
+EPOCHS, STEPS, BATCH, RATE = 6, 800, 64, 0.01
 #: Bytes of a word that training windows carry; scoring always reads whole words.
 TRAIN_WORD = 64
 
@@ -301,9 +302,8 @@ def train(model: Model, kinds: np.ndarray, found: list[list[str]], seed: int = 3
     p, rng = model.net, np.random.default_rng(seed)
     first = {k: np.zeros_like(x) for k, x in p.items()}
     second = {k: np.zeros_like(x) for k, x in p.items()}
-    balance = np.where(kinds == 1, 1.0, 1.0)
-    step = 0
-    for epoch in range(EPOCHS):
+    step, steps = 0, max(STEPS, EPOCHS * -(-len(begin) // BATCH))
+    while step < steps:
         order = rng.permutation(len(begin))
         for i in range(0, len(order), BATCH):
             take = order[i : i + BATCH]
@@ -317,7 +317,7 @@ def train(model: Model, kinds: np.ndarray, found: list[list[str]], seed: int = 3
             share = np.repeat(1 / np.maximum(size, 1), size).astype(np.float32)[:, None]
             near = np.concatenate([[0], np.cumsum(size)])
             embedded = segment(np.add, p["embed"][rows[pick]] * share, near)
-            g, dx = gradients(p, fixed[words], embedded[local], m, kinds[take] * balance[take])
+            g, dx = gradients(p, fixed[words], embedded[local], m, kinds[take])
             dword = np.zeros((len(used), EMBED), np.float32)
             np.add.at(dword, local, np.where(m[..., None], dx, 0))
             g["embed"] = np.zeros_like(p["embed"])
@@ -326,7 +326,7 @@ def train(model: Model, kinds: np.ndarray, found: list[list[str]], seed: int = 3
             for k in p:
                 first[k] += 0.1 * (g[k] - first[k])
                 second[k] += 0.001 * (g[k] * g[k] - second[k])
-                p[k] -= (RATE * (0.5**epoch) * first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
+                p[k] -= (RATE * max(0.0, 1 - step / steps) * first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
 
 
 def calibrate(model: Model, logit: np.ndarray, toxic: np.ndarray) -> None:
