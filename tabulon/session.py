@@ -22,3 +22,16 @@ def local_session(cpus: str = "8", name: str = "tabulon", memory: str = "8g") ->
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df written to the reliable checkpoint folder and cut from its lineage.
+
+    The folder is what ``spark.checkpoint.dir`` names; a local one is made only where that is unset.
+    """
+    import tempfile
+
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tabulon-"))
+    return df.checkpoint(eager=True)
