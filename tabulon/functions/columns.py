@@ -576,11 +576,9 @@ def date(env, y, m, d):
 
 def _part(name, f, at_60, at_0):
     def run(env, v):
-        if v.native is not None:  # from 1900-03-01 on both calendars agree
-            out = f(v.native).cast("double")
-            if not env.date_1904:
-                out = F.when(v.native >= F.lit("1900-03-01").cast("date"), out).otherwise(run(env, replace(v, native=None)).col)
-            return num(F.coalesce(out, F.lit(float(at_0))), array=v.array)
+        if v.native is not None:  # a date's serial number stands for that same date
+            first = F.lit("1904-01-01" if env.date_1904 else "1900-01-01").cast("date")
+            return num(F.coalesce(f(v.native).cast("double"), F.lit(float(at_0))), when_error(v.native < first, "#NUM!"), array=v.array)
         x, e = as_number(v)
         n = floor(x).cast("int")
         bad = (x < 0) | (x > 2_958_465)
