@@ -678,7 +678,7 @@ def average(env, *args):
     if len(arrays) == 1 and not scalars:
         total, n = F.avg(arrays[0]), F.count(arrays[0])
         return num(total, errs(e, when_error(n == 0, "#DIV/0!")))
-    n = _sum([F.count(c).cast("double") for c in arrays] + [F.lit(1.0) for _ in scalars])
+    n = _sum([F.count(c).cast("double") for c in arrays] + [F.when(c.isNotNull(), 1.0).otherwise(0.0) for c in scalars])
     return num(_sum([F.sum(c) for c in arrays] + scalars) / F.when(n > 0, n), errs(e, when_error(n == 0, "#DIV/0!")))
 
 
