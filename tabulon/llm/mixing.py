@@ -9,7 +9,7 @@ with a third of all rows is no hot key.
 Targets: sources by code point (null last) weigh 1, 2, 3, repeating, and share 100% of all words; a target stops at
 ``max_epochs`` times its source's size and the excess is shared again by weight until none is above.
 
-Defined cases: null text has size 0; null source is a source of its own; a repeated (doc_id, size) row is the same
+Defined cases: null text has size 0; a document without words has no part in the mix itself; null source is a source of its own; a repeated (doc_id, size) row is the same
 document several times, and if the cut falls among such equals each gets an equal share, rounded down; an empty
 table gives an empty mix; other columns are passed through.
 """
@@ -103,7 +103,7 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epo
     held = docs.select("doc_id", "source", n_words().alias("size"), random_key().alias("key"), F.struct(*names).alias("_doc"))
     d = _decide(held, cuts(rows, weights, max_epochs)).select("_doc", "size", "epochs", "part")
     rest = F.when(F.col("part") > 0, F.array(F.col("part"))).otherwise(F.array().cast("array<bigint>"))
-    d = d.withColumn("_take", F.explode(F.concat(F.array_repeat(F.col("size"), F.col("epochs").cast("int")), rest)))
+    d = d.withColumn("_take", F.explode(F.concat(F.array_repeat(F.col("size"), F.when(F.col("size") > 0, F.col("epochs")).otherwise(0).cast("int")), rest)))
     text = F.col("_doc.text")
     head = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), F.col("_take").cast("int")), " ")
     text = F.when(F.col("_take") < F.col("size"), head).otherwise(text).alias("text")
