@@ -64,9 +64,9 @@ def brute_kept(docs):
     mad = {k: middle([abs(b - med[k]) for b in v]) for k, v in groups.items()}
     shared = sum(mad[k] * len(v) for k, v in groups.items()) / max(sum(map(len, groups.values())), 1)
     spread = {k: max((mad[k] * len(v) + shared * quality_rules.PRIOR) / (len(v) + quality_rules.PRIOR), 1.0) for k, v in groups.items()}
-    low = {k: (med[k] - quality_rules.LOWER_DEVIATIONS * spread[k]) * quality_rules.BIN for k in med}
-    high = {k: (med[k] + quality_rules.UPPER_DEVIATIONS * spread[k]) * quality_rules.BIN for k in med}
-    return {i: not failed[i] and low[lang] <= perp[i] <= high[lang] for i, _, lang in docs}, perp
+    wide = lambda i, t, k: spread[k] * quality_rules.BIN * math.sqrt(1 + quality_rules.SHORT_GRAMS / max(len((t or "").encode()), 1))
+    near = lambda i, t, k: abs(perp[i] - med[k] * quality_rules.BIN) <= quality_rules.LOWER_DEVIATIONS * wide(i, t, k)
+    return {i: not failed[i] and near(i, t, lang) for i, t, lang in docs}, perp
 
 
 def small_table(spark):
