@@ -2,7 +2,8 @@
 
 ``Table(df).with_formula`` adds a column per row, ``agg`` gives one row of totals, ``group`` one row per key. Lookups
 are joins with a deduplicated table; positions, order statistics and first matches are top-k and range aggregates,
-never one sorted partition. A table is broadcast only after its rows were counted against BROADCAST_ROWS.
+never one sorted partition. Only frames of one row are broadcast by hint; lookup tables are left to the planner, which
+knows their size before the join (from files) or at run time (from the shuffle).
 """
 
 from __future__ import annotations
@@ -16,11 +17,10 @@ from pyspark.sql import functions as F
 
 from tabulon.functions import columns as C
 from tabulon.plans import parser as p
-from tabulon.plans.compiler import Env, compile_node, kind_of, whole_columns
+from tabulon.plans.compiler import Env, compile_node, kind_of
 from tabulon.plans.parser import FormulaError
 from tabulon.session import checkpoint
 
-BROADCAST_ROWS = 500_000
 _fresh = itertools.count()
 
 
@@ -28,11 +28,6 @@ def fresh(prefix: str) -> str:
     return f"_{prefix}{next(_fresh)}"
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df marked for broadcast if it has few enough rows, else as it is."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def first_rows(df: DataFrame, keys: list[str], order_by: tuple[str, ...]) -> DataFrame:
     """The first row of each key in the given order (of all columns where none is given)."""
     rest = [c for c in df.columns if c not in keys]
@@ -247,7 +242,7 @@ class _RowPlan:
         right = other.df.select(norm(there).alias(k), value.col.alias(held), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(other.order_by)])
         right = first_rows(right.filter(F.col(k).isNotNull()), [k], tuple(f"_o{i}" for i in range(len(other.order_by))))
         right = right.select(k, held, F.lit(True).alias(hit))
-        self.df = self.df.withColumn(mine, norm(v)).join(small(right), F.col(mine) == F.col(k), "left")
+        self.df = self.df.withColumn(mine, norm(v)).join(right, F.col(mine) == F.col(k), "left")
         self.extra += [mine, k, held, hit]
         return C.Val(value.kind, F.col(held), C.errs(v, C.when_error(F.col(hit).isNull(), "#N/A")), False, True)
 
@@ -338,4 +333,4 @@ def node_text(node) -> str:
     raise FormulaError(str(node))
 
 
-__all__ = ["Table", "first_rows", "node_text", "small", "whole_columns"]
+__all__ = ["Table", "first_rows", "node_text"]
