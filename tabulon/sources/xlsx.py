@@ -15,7 +15,7 @@ from xml.sax.saxutils import escape, quoteattr
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulon.operators.grid import CELL_SCHEMA, Workbook, Worksheet
+from tabulon.operators.grid import CELL_SCHEMA, Cell, Workbook, Worksheet
 from tabulon.plans import parser as p
 from tabulon.plans.values import Err, text
 
@@ -23,6 +23,8 @@ MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 PACKAGE = "http://schemas.openxmlformats.org/package/2006"
 _N, _R = f"{{{MAIN}}}", f"{{{REL}}}"
+_V, _F, _IS = f"{_N}v", f"{_N}f", f"{_N}is"
+_INSIDE = {f"{_N}c", _V, _F, _IS, f"{_N}t", f"{_N}r"}
 _ESCAPE = re.compile(r"_x([0-9A-Fa-f]{4})_")
 _UNSAFE = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\r]|_x[0-9A-Fa-f]{4}_")
 
@@ -127,36 +129,51 @@ def _value(kind: str, v: str | None, shared: list[str]):
 
 def _read_sheet(z: zipfile.ZipFile, part: str, sheet: Worksheet, shared: list[str]) -> None:
     masters: dict[str, tuple[str, int, int]] = {}
-    row_at = col_at = -1
+    columns: dict[str, int] = {}
+    row_at = -1
+
+    def take(cells, row: int) -> None:
+        """The cells of one row element."""
+        col = -1
+        for e in cells:
+            name = e.get("r")
+            if name:
+                letters = name.rstrip("0123456789")
+                col = columns[letters] if letters in columns else columns.setdefault(letters, p.column_index(letters))
+            else:
+                col += 1
+            kind, style, raw, fx, v = e.get("t", "n"), int(e.get("s", 0)), None, None, None
+            for part_ in e:
+                if part_.tag == _V:
+                    raw = part_.text
+                elif part_.tag == _F:
+                    fx = part_
+                elif part_.tag == _IS:
+                    v = _runs(part_)
+            if v is None:
+                v = float(raw) if raw is not None and kind == "n" else _value(kind, raw, shared)
+            formula = None
+            if fx is not None:
+                formula = fx.text or None
+                if fx.get("t") == "shared":
+                    if formula:
+                        masters[fx.get("si")] = (formula, row, col)
+                    elif fx.get("si") in masters:
+                        text_, r0, c0 = masters[fx.get("si")]
+                        formula = shift(text_, row - r0, col - c0)
+            if v is not None or formula or style:
+                if not (row < p.MAX_ROWS and col < p.MAX_COLS):
+                    raise ValueError(f"cell out of bounds: {row}, {col}")
+                sheet._cells[row, col] = Cell(v, f"={decode(formula)}" if formula else None, style)
+
     with z.open(part) as f:
-        for event, e in ET.iterparse(f, ("start", "end")):
-            tag = e.tag.removeprefix(_N)
-            if event == "start":
-                if tag == "row":
-                    row_at = int(e.get("r", row_at + 2)) - 1
-                    col_at = -1
+        for _, e in ET.iterparse(f, ("end",)):
+            if e.tag in _INSIDE:
                 continue
-            if tag == "c":
-                row, col = p.parse_cell(e.get("r")) if e.get("r") else (row_at, col_at + 1)
-                col_at = col
-                kind, raw, fx = e.get("t", "n"), e.find(f"{_N}v"), e.find(f"{_N}f")
-                inline = e.find(f"{_N}is")
-                v = _runs(inline) if inline is not None else _value(kind, raw.text if raw is not None else None, shared)
-                formula = None
-                if fx is not None:
-                    formula = fx.text or None
-                    if fx.get("t") == "shared":
-                        if formula:
-                            masters[fx.get("si")] = (formula, row, col)
-                        elif fx.get("si") in masters:
-                            text_, r0, c0 = masters[fx.get("si")]
-                            formula = shift(text_, row - r0, col - c0)
-                style = int(e.get("s", 0))
-                if v is not None or formula or style:
-                    cell = sheet._cell((row, col))
-                    cell.value, cell.formula, cell.style = v, f"={decode(formula)}" if formula else None, style
-                e.clear()
-            elif tag == "row":
+            tag = e.tag.removeprefix(_N)
+            if tag == "row":
+                row_at = int(e.get("r", row_at + 2)) - 1
+                take(e, row_at)
                 if e.get("ht") and e.get("customHeight") in ("1", "true", None):
                     sheet.row_heights[row_at] = float(e.get("ht"))
                 if e.get("hidden") in ("1", "true"):
@@ -267,6 +284,11 @@ def _styles(book: Workbook) -> str:
 
 def _cell(row: int, col: int, cell) -> str:
     v = cell.value
+    if not cell.formula and not cell.style:  # most cells
+        if isinstance(v, float):
+            return f'<c r="{p.cell_name(row, col)}"><v>{int(v) if v.is_integer() and abs(v) < 1e15 else repr(v)}</v></c>'
+        if isinstance(v, str):
+            return f'<c r="{p.cell_name(row, col)}" t="inlineStr"><is><t xml:space="preserve">{escape(encode(v))}</t></is></c>'
     f = f"<f>{escape(encode(cell.formula[1:]))}</f>" if cell.formula else ""
     attrs = {"r": p.cell_name(row, col), "s": cell.style or None}
     if v is None:
