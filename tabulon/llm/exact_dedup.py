@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import checkpoint, documents, small, text_digest
+from tabulon.llm.common import checkpoint, documents, free, small, text_digest
 
 #: Hashes of 16 bytes that may be broadcast to find the texts to compare.
 BROADCAST_HASHES = 1_000_000
@@ -55,10 +55,11 @@ def _decided(rows: DataFrame, smallest: bool) -> DataFrame:
 
 def dedup_documents(docs: DataFrame, smallest: bool = True) -> DataFrame:
     """The documents that stay, with all their columns and texts. Of wholly equal (doc_id, text) rows one stays."""
-    kept = group_records(docs, smallest=smallest).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    own, i, s = free(docs, "own_sha", "kept_id", "kept_sha")
+    kept = group_records(docs, smallest=smallest).filter("kept").select(F.col("doc_id").alias(i), F.col("text_sha256").alias(s))
     sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    rows = docs.withColumn("_s", sha).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_s") == F.col("_sha")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_s"]).drop("_s")
+    rows = docs.withColumn(own, sha).join(kept, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(own) == F.col(s)), "left_semi")
+    return rows.dropDuplicates(["doc_id", own]).drop(own)
 
 
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import WORD, checkpoint, documents
+from tabulon.llm.common import WORD, checkpoint, documents, free
 
 #: Words that a repeated run must have.
 MIN_WORDS = 10
@@ -131,19 +131,24 @@ def later_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return merged.groupBy(*_DOC, "run").agg(F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line")).drop("run")
 
 
-def cleaned(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with later copies deleted from text (and n_chars to match, where it is a column), plus n_deleted lines."""
-    cuts = later_runs(docs, min_words).groupBy(*_DOC).agg(F.array_sort(F.collect_list(F.struct("first_line", "last_line"))).alias("_cuts"))
-    cuts = checkpoint(cuts.withColumnsRenamed({"doc_id": "_id", "th": "_th"}))
+def cleaned(docs: DataFrame, min_words: int = MIN_WORDS, count: str | None = "n_deleted") -> DataFrame:
+    """docs with later copies deleted from text (and n_chars to match, where it is a column), plus the lines deleted.
+
+    The count's column gets a longer name where docs has one of that name; count=None leaves it out.
+    """
+    i, h, c, gone, held = free(docs, "cut_id", "cut_th", "cuts", "gone", "held_lines")
+    cuts = later_runs(docs, min_words).groupBy(*_DOC).agg(F.array_sort(F.collect_list(F.struct("first_line", "last_line"))).alias(c))
+    cuts = checkpoint(cuts.withColumnsRenamed({"doc_id": i, "th": h}))
     th = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    rows = docs.join(cuts.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (th == F.col("_th")), "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda s, i: ~F.exists("_cuts", lambda c: i.between(c["first_line"], c["last_line"])))
-    text = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    gone = F.coalesce(F.aggregate("_cuts", F.lit(0).cast("long"), lambda a, c: a + c["last_line"] - c["first_line"] + 1), F.lit(0).cast("long"))
-    out = {"text": text.alias("text")}
+    rows = docs.join(cuts.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(i)) & (th == F.col(h)), "left")
+    kept = F.filter(F.split("text", "\n", -1), lambda s, at: ~F.exists(c, lambda r: at.between(r["first_line"], r["last_line"])))
+    text = F.when(F.col(c).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    deleted = F.coalesce(F.aggregate(c, F.lit(0).cast("long"), lambda a, r: a + r["last_line"] - r["first_line"] + 1), F.lit(0).cast("long"))
+    rows = rows.select(*docs.columns, text.alias(held), deleted.alias(gone))
+    out = {"text": F.col(held).alias("text")}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.length(text).cast("long").alias("n_chars")
-    return rows.select(*[out.get(c, F.col(c)) for c in docs.columns], gone.alias("_gone")).withColumnRenamed("_gone", "n_deleted")
+        out["n_chars"] = F.length(held).cast("long").alias("n_chars")
+    return rows.select(*[out.get(x, F.col(x)) for x in docs.columns], *([F.col(gone).alias(free(docs, count)[0])] if count else []))
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:

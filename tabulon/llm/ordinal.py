@@ -128,7 +128,7 @@ def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Cumulative
     """The model from ratings (doc_id, grade): at most sample of them, in the order of a hash of the id."""
     chosen = ratings.filter(crc_mod(HELD_OUT) != 0).filter("grade is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = F.broadcast(checkpoint(chosen.select(F.col("doc_id").alias("_id"), F.col("grade").cast("int").alias("grade"))))
-    rows = docs.join(chosen, F.col("doc_id") == F.col("_id")).select("grade", "text")
+    rows = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id")).select("grade", "text")
     got = sparse_rows(rows).toArrow().combine_chunks()
     if not len(got):
         return CumulativeLink(np.zeros(SIZE), np.zeros(0), np.zeros(1))

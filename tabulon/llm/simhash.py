@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import batch_rows, checkpoint, documents, small
+from tabulon.llm.common import batch_rows, checkpoint, documents, free, small
 
 DISTANCE, SHINGLE, SEED = 3, 3, 42
 FANOUT = 8
@@ -268,9 +268,10 @@ def near_groups(docs: DataFrame, group: int = GROUP) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id, with all its columns."""
     won = near_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    won = checkpoint(won.groupBy(F.col("doc_id").alias("_id")).agg(F.min("text_h").alias("_h"), F.count("*").alias("n")))
-    out = docs.join(won.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if won.filter("n > 1").head(1) else out
+    i, h, n = free(docs, "won_id", "won_h", "won_n")
+    won = checkpoint(won.groupBy(F.col("doc_id").alias(i)).agg(F.min("text_h").alias(h), F.count("*").alias(n)))
+    out = docs.join(won.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(h)), "left_semi")
+    return out.dropDuplicates(["doc_id"]) if won.filter(F.col(n) > 1).head(1) else out
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:

@@ -2,13 +2,13 @@
 
 import re
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, words string, h long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, words string, h long, kept_id long, toxic string, grade string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def docs_of(spark, texts, lang="en", source="a", start=0):
     """documents with two more columns whose names the operators also use inside."""
-    rows = [(start + i, t, lang, source, len(t or ""), "x", 1) for i, t in enumerate(texts)]
+    rows = [(start + i, t, lang, source, len(t or ""), "x", 1, 7, "y", "z") for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -29,7 +29,7 @@ def odd_docs(spark):
         (6, " \n\t\r\x0b\x0c ", "fr", "c", 7, "x", 1),
         (7, "Ünïcödé İ Σ   \U0001f600 é", "fr", "c", 20, "x", 1),
     ]
-    return spark.createDataFrame(rows, SCHEMA)
+    return spark.createDataFrame([(*r, None, "y", None) for r in rows], SCHEMA)
 
 
 def empty_docs(spark):
