@@ -1 +1,7 @@
 """Spreadsheet-style analytics compiled to Spark DataFrames."""
+
+from tabulon.operators.grid import CalculationOptions, CalculationStats, CellValue, Workbook, Worksheet
+from tabulon.operators.table import Table
+from tabulon.plans.parser import FormulaError, parse
+
+__all__ = ["CalculationOptions", "CalculationStats", "CellValue", "FormulaError", "Table", "Workbook", "Worksheet", "parse"]
