@@ -32,6 +32,8 @@ GROUP = 20_000
 #: Rows of index groups that a task holds at once (more only where one group has more).
 HELD = 65_536
 LEVELS = 3
+#: Pairs of a query and a member that one search step may hold.
+PAIRS = 1_000_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -150,9 +152,8 @@ def forest(fp: np.ndarray, group: np.ndarray, distance: int = DISTANCE) -> tuple
     parent = np.arange(len(fp))
     alone = np.bincount(index.root)[index.root] == 1 if len(fp) else np.zeros(0, bool)
     ask = np.flatnonzero(~alone)
-    step = 2048
-    for i in range(0, len(ask), step):
-        rows = ask[i : i + step]
+    reach = np.cumsum(np.bincount(index.root)[index.root[ask]]) if len(ask) else ask  # members a query may meet at most
+    for rows in np.split(ask, np.searchsorted(reach, np.arange(PAIRS, reach[-1], PAIRS))) if len(ask) else []:
         who, node = index.search(index.fp[rows], index.root[rows], distance)
         parent = connect(parent, rows[who], node)
     parent = roots(parent)

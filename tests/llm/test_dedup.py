@@ -154,3 +154,11 @@ def test_suffix_levels_are_intervals(spark):
         for place, rank in rows.items():
             groups.setdefault(rank, []).append(place)
         assert sorted(map(sorted, groups.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+
+
+def test_forest_of_one_dense_group():
+    """Thousands of fingerprints within 3 bits of a centre: one tree, in bounded steps."""
+    rng = np.random.default_rng(11)
+    fp = np.unique(np.array([sum(1 << int(b) for b in rng.choice(64, 2, replace=False)) for _ in range(4000)], np.uint64))
+    a, b = simhash.forest(fp, np.zeros(len(fp), np.int64))
+    assert len(a) == len(fp) - 1 and len(set(b.tolist())) == 1
