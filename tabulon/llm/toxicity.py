@@ -371,7 +371,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     chosen = [per_id.filter(F.col("toxic") == k).orderBy(*order).limit(sample) for k in (0, 1)]
     chosen = F.broadcast(checkpoint(chosen[0].union(chosen[1]).select(F.col("doc_id").alias("_id"), "toxic")))
-    rows = checkpoint(docs.join(chosen, F.col("doc_id") == F.col("_id")).select("toxic", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["text"]))
+    rows = checkpoint(docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id")).select("toxic", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["text"]))
 
     got = odds_counts(rows).toArrow()
     counts = np.zeros((2, (1 << WORD_BITS) + (1 << GRAM_BITS)))
