@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tabulon.operators.grid import CELL_SCHEMA, Cell, Workbook, Worksheet
 from tabulon.plans import parser as p
 from tabulon.plans.values import Err, text
+from tabulon.session import ship
 
 MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -407,6 +408,7 @@ def scan(spark: SparkSession, path: str, read=read_bytes) -> DataFrame:
                 rows = [(file, *r) for s in read(bytes(content))._sheets for r in s.rows()]
                 yield pd.DataFrame(rows, columns=["file", *[c.split()[0] for c in CELL_SCHEMA.split(", ")]]).astype({"bool": object, "num": float})
 
+    ship(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(run, f"file string, {CELL_SCHEMA}")
 
