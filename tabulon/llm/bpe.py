@@ -29,7 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tabulon.llm.common import batch_rows, documents
+from tabulon.llm.common import documents, ready_workers
 
 #: Bytes up to which a word is one row of the rank arrays.
 SHORT = 48
@@ -257,7 +257,7 @@ def _groups(texts: list[str | None], most: int = 1 << 20) -> Iterator[list[str]]
 def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     spark = docs.sparkSession
-    batch_rows(spark)
+    ready_workers(spark)
     tables = _Shared(spark.sparkContext.broadcast(load(path)))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -278,7 +278,7 @@ def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids (array of int), n_tokens, decoded: the encoded corpus itself."""
     spark = docs.sparkSession
-    batch_rows(spark)
+    ready_workers(spark)
     tables = _Shared(spark.sparkContext.broadcast(load(path)))
     kind = docs.schema["doc_id"].dataType.simpleString()
 

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulon.session import ship
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that may be broadcast; beyond this, joins are left to the planner.
 BROADCAST_ROWS = 500_000
@@ -174,8 +176,10 @@ def crc_mod(n: int, column: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("null")).cast("binary")) % n
 
 
-def batch_rows(spark: SparkSession, rows: int = 512) -> None:
-    """Bounds the rows of an Arrow batch, as texts can be long."""
+def ready_workers(spark: SparkSession, rows: int = 512) -> None:
+    """Sends this package to the executors' Python, once per application, and bounds the rows of an Arrow batch, as
+    texts can be long."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, rows)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import Chunk, batch_rows, checkpoint, chunks, crc_mod, documents, mix, segment_sum
+from tabulon.llm.common import Chunk, checkpoint, chunks, crc_mod, documents, mix, ready_workers, segment_sum
 
 CLASSES, FREQUENT = 32, 14
 FEATURE_BITS = 13
@@ -76,7 +76,7 @@ def feature_rows(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def count_words(docs: DataFrame) -> DataFrame:
     """h, n: how often each token occurs in docs."""
-    batch_rows(docs.sparkSession)
+    ready_workers(docs.sparkSession)
 
     def run(batches):
         for b in batches:
@@ -233,7 +233,7 @@ class Maxent:
 def fit(docs: DataFrame, block: int = BLOCK, rounds: int = ROUNDS) -> Maxent:
     """A model of all of docs; each round of updates takes its own share of them."""
     spark = docs.sparkSession
-    batch_rows(spark)
+    ready_workers(spark)
     counted, blocks, facts = vocabulary(docs, block)
     w, sizes = np.zeros((FEATURES << FEATURE_BITS, CLASSES), np.float32), np.zeros(CLASSES)
     share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds))
@@ -253,7 +253,7 @@ def fit(docs: DataFrame, block: int = BLOCK, rounds: int = ROUNDS) -> Maxent:
 def score_documents(docs: DataFrame, model: Maxent) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     spark = docs.sparkSession
-    batch_rows(spark)
+    ready_workers(spark)
     facts = model.facts
     n_all, v_all = facts["tokens"], facts["words"]
     weights = spark.sparkContext.broadcast((model.w, model.bias, model.sizes))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import Chunk, batch_rows, checkpoint, chunks, crc_mod, documents, per_text
+from tabulon.llm.common import Chunk, checkpoint, chunks, crc_mod, documents, per_text, ready_workers
 from tabulon.llm.quality_rules import BITS, grams
 
 WORD_BITS = 18
@@ -59,7 +59,7 @@ def scores(c: Chunk, w: np.ndarray) -> np.ndarray:
 
 def sparse_rows(rows: DataFrame) -> DataFrame:
     """(grade, text) → (grade, idx, val): each text's distinct features."""
-    batch_rows(rows.sparkSession)
+    ready_workers(rows.sparkSession)
 
     def run(batches):
         for b in batches:
@@ -140,7 +140,7 @@ def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Cumulative
 def rate(docs: DataFrame, model: CumulativeLink, grade: float = 1, chance: float = 0.5) -> DataFrame:
     """One row per document: doc_id, held_out, expected_grade, tail_probability (of that grade or more), kept."""
     spark = docs.sparkSession
-    batch_rows(spark)
+    ready_workers(spark)
     shared = spark.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
 

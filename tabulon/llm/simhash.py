@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import batch_rows, checkpoint, documents, free, small
+from tabulon.llm.common import checkpoint, documents, free, ready_workers, small
 
 DISTANCE, SHINGLE, SEED = 3, 3, 42
 FANOUT = 8
@@ -57,7 +57,7 @@ def fingerprint(text: str | None) -> int:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, text_h (64-bit digest of the text), fp (the fingerprint's bits as a long)."""
-    batch_rows(docs.sparkSession)
+    ready_workers(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import LOWER, Chunk, batch_rows, checkpoint, chunks, crc_mod, documents, mix
+from tabulon.llm.common import Chunk, LOWER, checkpoint, chunks, crc_mod, documents, mix, ready_workers
 
 WORD_BITS, GRAM_BITS, EMBED_BITS = 18, 18, 12
 GRAM_SIZES = (3, 4, 5)
@@ -85,7 +85,7 @@ def segment(fun, values: np.ndarray, at: np.ndarray, empty: float = 0.0) -> np.n
 
 def odds_counts(rows: DataFrame) -> DataFrame:
     """(toxic, text) → (bucket, toxic, n): in how many texts each word bucket, then n-gram bucket, occurs."""
-    batch_rows(rows.sparkSession)
+    ready_workers(rows.sparkSession)
 
     def run(batches):
         counts = np.zeros((2, (1 << WORD_BITS) + (1 << GRAM_BITS)), np.int32)
@@ -260,7 +260,7 @@ def windows(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def training_windows(rows: DataFrame, model: Model) -> DataFrame:
     """(toxic, text) → (toxic, words): the window with the highest log odds, and of clean texts one more."""
-    batch_rows(rows.sparkSession)
+    ready_workers(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -352,7 +352,7 @@ def calibrate(model: Model, logit: np.ndarray, toxic: np.ndarray) -> None:
 def chances(docs: DataFrame, model: Model, extra: str, raw: bool = False) -> DataFrame:
     """docs (with the column extra) → that column, and score: the calibrated chance, or the raw logit."""
     spark = docs.sparkSession
-    batch_rows(spark)
+    ready_workers(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
