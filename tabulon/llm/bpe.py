@@ -29,12 +29,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tabulon.llm.common import documents, ready_workers
+from tabulon.llm.common import documents, held, ready_workers
 
 #: Bytes up to which a word is one row of the rank arrays.
 SHORT = 48
 #: Words kept per worker; when full, the table starts anew (speed only).
-KEPT = 400_000
+KEPT = 200_000
 NONE = np.iinfo(np.int32).max
 
 
@@ -229,15 +229,9 @@ class Encoder:
         return " ".join(self.tokens[i] for i in ids if i in self.tokens)
 
 
-_made: dict[int, Encoder] = {}
-
-
 def encoder_of(tables) -> Encoder:
     """The worker's encoder for a broadcast."""
-    if tables.id not in _made:
-        _made.clear()
-        _made[tables.id] = Encoder(tables.value)
-    return _made[tables.id]
+    return held(("bpe", tables.id), lambda: Encoder(tables.value))
 
 
 def _groups(texts: list[str | None], most: int = 1 << 20) -> Iterator[list[str]]:

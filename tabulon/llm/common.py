@@ -185,6 +185,18 @@ def ready_workers(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set(key, rows)
 
 
+_held: dict = {}
+
+
+def held(key=None, make=None):
+    """What a Python worker keeps between tasks: one thing at a time, so that the stages of a job don't add up."""
+    if key is None or key not in _held:
+        _held.clear()
+        if key is not None:
+            _held[key] = make()
+    return _held.get(key)
+
+
 def segment_sum(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sums of values between consecutive offsets, each added up by itself."""
     if not len(values):

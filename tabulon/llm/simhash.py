@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import checkpoint, documents, free, ready_workers, small
+from tabulon.llm.common import checkpoint, documents, free, held, ready_workers, small
 
 DISTANCE, SHINGLE, SEED = 3, 3, 42
 FANOUT = 8
@@ -61,6 +61,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
+        held()
         for b in batches:
             fp = np.array([fingerprint(t.as_py()) for t in b.column(2)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["doc_id", "text_h", "fp"])
