@@ -9,8 +9,10 @@ model is a proper distribution over known words and one unknown.
 
 Counts of all words of the training documents are exact sums by 64-bit word hash and grow with the corpus. They are
 never broadcast as a whole: the vocabulary is cut by hash into blocks of at most BLOCK words (sorted hash arrays, a
-proven size), and training and scoring visit the texts once per block, taking the tokens of that block; all sums are
-additive over tokens. Weights have a fixed size.
+proven size). Counts and scores are sums over tokens, so these visit the texts once per block and take the tokens of
+that block. Gradient steps are not: of the vocabulary they need only whether a token was seen at most once, so with
+several blocks this bit is gathered for all tokens first (one pass per block, joined by text digest), and each step then
+has the targets of all tokens, in the same tasks and order as with one block. Weights have a fixed size.
 
 Tokens are words with A-Z in lower case, then one end token per text. Documents whose crc32(doc_id) mod 7 is 2 are
 held out of all counts and training.
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import Chunk, checkpoint, chunks, crc_mod, documents, mix, ready_workers, segment_sum
+from tabulon.llm.common import Chunk, checkpoint, chunks, crc_mod, documents, mix, ready_workers, segment_sum, text_digest
 
 CLASSES, FREQUENT = 32, 14
 FEATURE_BITS = 13
@@ -173,11 +175,52 @@ def softmax(w: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return s
 
 
-def updates(docs: DataFrame, shared_block, shared_w) -> tuple[np.ndarray, np.ndarray]:
-    """One distributed round: the token-weighted mean of the tasks' changes of weights, and of the bias."""
+def rare_bits(docs: DataFrame, shared) -> DataFrame:
+    """th (text digest), bits: the packed bits of a text's tokens, set for words of this block seen at most once."""
 
     def run(batches):
-        block, (w0, b0) = shared_block.value, shared_w.value
+        block = shared.value
+        for b in batches:
+            bits = []
+            for c in chunks(b.column(1)):
+                h, at, _ = tokens(c)
+                rare = block.mine(h)
+                rare[rare] = block.counts(h[rare]) <= 1
+                bits += [np.packbits(rare[i:j]).tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bits, pa.binary())], ["th", "bits"])
+
+    return docs.select(text_digest().alias("th"), "text").mapInArrow(run, "th binary, bits binary")
+
+
+def with_rare(docs: DataFrame, passes: list[DataFrame]) -> DataFrame:
+    """docs (text and share) with bits, the bits of every block's pass; in the partitions and order of docs."""
+    found = passes[0]
+    for p in passes[1:]:
+        found = found.union(p)
+    found = found.groupBy("th").agg(F.collect_set("bits").alias("bits"))
+    rows = docs.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("nr"), text_digest().alias("th"), "text", "share")
+    rows = rows.join(found, "th").repartitionById(docs.rdd.getNumPartitions(), F.col("part"))
+    return rows.sortWithinPartitions("nr").select("text", "share", "bits")
+
+
+def updates(docs: DataFrame, shared_block, shared_w, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One distributed round: the token-weighted mean of the tasks' changes of weights, and of the bias.
+
+    Which tokens are rare is looked up in the block if that is the whole vocabulary, else docs has it as bits.
+    """
+    resolved = "bits" in docs.columns
+
+    def counts(b, c, h, at):
+        if not resolved:
+            return shared_block.value.counts(h)
+        out = []
+        for i, n in enumerate(np.diff(at)):
+            packed = [np.frombuffer(x, np.uint8) for x in b.column(1)[c.first + i].as_py()]
+            out.append(np.unpackbits(np.bitwise_or.reduce(packed), count=n))
+        return 2 - np.concatenate(out).astype(np.int64)
+
+    def run(batches):
+        w0, b0 = shared_w.value
         w, bias = w0.copy(), b0.copy()
         seen = np.full(len(w), 1e-2, np.float32)
         total = 0
@@ -185,11 +228,10 @@ def updates(docs: DataFrame, shared_block, shared_w) -> tuple[np.ndarray, np.nda
             for c in chunks(b.column(0)):
                 h, at, tail = tokens(c)
                 rows = feature_rows(h, at)
-                mine = np.flatnonzero(block.mine(h))
-                target = block.classes(h[mine], block.counts(h[mine]), tail[mine])
-                total += len(mine)
-                for i in range(0, len(mine), STEP):
-                    r, y = rows[mine[i : i + STEP]], target[i : i + STEP]
+                target = classes(h, counts(b, c, h, at), tail, frequent)
+                total += len(h)
+                for i in range(0, len(h), STEP):
+                    r, y = rows[i : i + STEP], target[i : i + STEP]
                     g = softmax(w, bias, r)
                     g[np.arange(len(y)), y] -= 1
                     bias -= np.float32(RATE) * g.mean(0)
@@ -213,7 +255,7 @@ def updates(docs: DataFrame, shared_block, shared_w) -> tuple[np.ndarray, np.nda
         return pa.RecordBatch.from_arrays([pa.array(idx.astype(np.int32)), *[pa.array(values[:, k].astype(np.float32)) for k in range(CLASSES)]], ["idx", *names])
 
     names = [f"c{k}" for k in range(CLASSES)]
-    out = docs.select("text").mapInArrow(run, "idx int, " + ", ".join(f"{n} float" for n in names))
+    out = docs.select("text", *["bits"] * resolved).mapInArrow(run, "idx int, " + ", ".join(f"{n} float" for n in names))
     got = out.groupBy("idx").agg(*[F.sum(n).cast("float").alias(n) for n in names]).toArrow()
     idx = got.column("idx").to_numpy()
     values = np.stack([got.column(n).to_numpy() for n in names], 1) if len(idx) else np.zeros((0, CLASSES))
@@ -236,17 +278,19 @@ def fit(docs: DataFrame, block: int = BLOCK, rounds: int = ROUNDS) -> Maxent:
     ready_workers(spark)
     counted, blocks, facts = vocabulary(docs, block)
     w, sizes = np.zeros((FEATURES << FEATURE_BITS, CLASSES), np.float32), np.zeros(CLASSES)
-    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds))
-    bias = None
+    texts = docs.select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)).alias("share"))
+    passes = []
     for b in blocks_of(counted, blocks, facts):
         shared = spark.sparkContext.broadcast(b)
         sizes += class_totals(docs, shared, blocks)
+        if blocks > 1:
+            passes.append(checkpoint(rare_bits(docs, shared)))
     bias = np.log((sizes + 1) / (sizes.sum() + CLASSES)).astype(np.float32)
+    if passes:
+        texts = with_rare(texts, passes)
     for r in range(rounds):
-        for b in [b] if blocks == 1 else blocks_of(counted, blocks, facts):
-            shared = shared if blocks == 1 else spark.sparkContext.broadcast(b)
-            dw, db = updates(docs.filter(share == r), shared, spark.sparkContext.broadcast((w, bias)))
-            w, bias = w + dw, bias + db
+        dw, db = updates(texts.filter(F.col("share") == r), shared, spark.sparkContext.broadcast((w, bias)), facts["frequent"])
+        w, bias = w + dw, bias + db
     return Maxent(counted, blocks, facts, w, bias, sizes)
 
 

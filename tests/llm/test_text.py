@@ -117,6 +117,19 @@ def test_maxent_base_scores_and_blocks(spark):
     assert maxent.score_documents(odd_docs(spark), maxent.fit(empty_docs(spark))).filter("n_known = 0").count() == 12
 
 
+def test_maxent_blocks_do_not_change_the_model(spark):
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[min(int(x), 399)] for x in rng.zipf(1.3, rng.integers(0, 60))) for _ in range(400)]
+    docs = docs_of(spark, [*texts, None, "", texts[0], texts[0]])
+    train = docs.filter(maxent.crc_mod(7) != 2)
+    one, many = maxent.fit(train), maxent.fit(train, block=100)
+    assert one.blocks == 1 and many.blocks > 2
+    assert np.allclose(one.w, many.w, atol=1e-3) and np.allclose(one.bias, many.bias, atol=1e-4)
+    a, b = (sum(r.score for r in maxent.score_documents(docs, m).collect() if r.held_out) for m in (one, many))
+    assert math.isclose(a, b, rel_tol=1e-4)
+
+
 def test_maxent_model_is_a_distribution(spark):
     model = maxent.fit(docs_of(spark, ["a b c d a b", "a b x", "c d a", "b b a"]))
     rows = maxent.feature_rows(np.array([5, 6, 7], np.uint64), np.array([0, 3]))
