@@ -255,25 +255,30 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, group: int = GROUP) -> DataFrame:
-    """One row per document: doc_id, text_h, fp, component_id (the smallest doc_id reachable)."""
+    """One row per document: doc_id, text_h, fp, component_id (the smallest doc_id reachable), label (the least
+    fingerprint reachable, which names the component even where ids are null or repeated)."""
     rows = checkpoint(fingerprints(docs))
     classes = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     labels = components(checkpoint(linked(classes, group)))
     members = checkpoint(labels.join(classes, F.col("node") == F.col("fp")).select("fp", "label", "first_id"))
     least = checkpoint(members.groupBy(F.col("label").alias("l")).agg(F.min("first_id").alias("least_id")))
-    named = checkpoint(members.join(least, F.col("label") == F.col("l")).select(F.col("fp").alias("f"), "least_id"))
+    named = checkpoint(members.join(least, F.col("label") == F.col("l")).select(F.col("fp").alias("f"), "label", "least_id"))
     ids = classes.join(named, F.col("fp") == F.col("f"), "left")
-    ids = checkpoint(ids.select(F.col("fp").alias("f"), F.coalesce(F.when(F.col("f").isNotNull(), F.col("least_id")), F.col("first_id")).alias("component_id")))
+    component = F.coalesce(F.when(F.col("f").isNotNull(), F.col("least_id")), F.col("first_id")).alias("component_id")
+    ids = checkpoint(ids.select(F.col("fp").alias("f"), component, F.coalesce("label", "fp").alias("label")))
     return rows.join(ids, F.col("fp") == F.col("f"), "left").drop("f")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id, with all its columns."""
-    won = near_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    """One document of each group of near copies, the one with the smallest id (null last, then the smallest text
+    digest), with all its columns."""
     i, h, n = free(docs, "won_id", "won_h", "won_n")
-    won = checkpoint(won.groupBy(F.col("doc_id").alias(i)).agg(F.min("text_h").alias(h), F.count("*").alias(n)))
+    rows = near_groups(docs).groupBy("label", "doc_id", "text_h").agg(F.count("*").alias("n"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_h", "n")).alias("best")
+    won = rows.groupBy("label").agg(best)
+    won = checkpoint(won.select(F.col("best.doc_id").alias(i), F.col("best.text_h").alias(h), F.col("best.n").alias(n)))
     out = docs.join(won.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(h)), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if won.filter(F.col(n) > 1).head(1) else out
+    return out.dropDuplicates(["doc_id", "text"]) if won.filter(F.col(n) > 1).head(1) else out
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:

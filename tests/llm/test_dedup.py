@@ -100,6 +100,14 @@ def test_near_groups(spark):
     assert simhash.near_groups(empty_docs(spark)).count() == 0
 
 
+def test_keep_first_keeps_one_of_each_group(spark):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    rows = [(None, a), (None, b), (None, c), (None, c), (5, d), (5, e), (5, e), (9, e), (None, d)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k int")
+    got = [(r.doc_id, r.text) for r in simhash.keep_first(docs).collect()]
+    assert len(got) == 5 and set(got) == {(None, a), (None, b), (None, c), (5, d), (5, e)}
+
+
 def brute_lines(texts, least):
     """Texts after deletion of later copies of runs with at least so many words."""
     lines = [(t or "").split("\n") for t in texts]
