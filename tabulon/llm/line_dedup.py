@@ -34,12 +34,18 @@ _DOC = ["doc_id", "th"]
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, th (text digest), line (place among all lines), pos (place among worded lines), h (line id), words."""
+    """doc_id, th (text digest), line (place among all lines), pos (place among worded lines), h (line id), words.
+
+    One row per place: repeated rows of one document give its places once.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.split(text, "\n", -1)
     counted = F.transform(lines, lambda s, i: F.struct(i.alias("line"), F.xxhash64(s).alias("h"), F.regexp_count(s, F.lit(WORD)).alias("words")))
     worded = F.filter(counted, lambda s: s["words"] > 0)
-    return docs.select("doc_id", F.xxhash64(text).alias("th"), F.posexplode(worded).alias("pos", "s")).select(*_DOC, "pos", "s.line", "s.h", "s.words")
+    rows = docs.select("doc_id", F.xxhash64(text).alias("th"), F.posexplode(worded).alias("pos", "s")).select(*_DOC, "pos", "s.line", "s.h", "s.words")
+    # sorted as the windows of runs() need it, so this takes no exchange of its own
+    rows = rows.withColumn("last", F.lag("pos").over(Window.partitionBy(*_DOC).orderBy("pos")))
+    return rows.filter("last is null or last < pos").drop("last")
 
 
 def runs(lines: DataFrame, min_words: int) -> DataFrame:
@@ -52,7 +58,6 @@ def runs(lines: DataFrame, min_words: int) -> DataFrame:
     d = d.withColumn("before", F.col("to") - F.col("words")).withColumn("total", F.sum("words").over(doc))
     fwd, bwd = doc.orderBy("before").rangeBetween(0, min_words - 1), doc.orderBy("to").rangeBetween(-(min_words - 1), 0)
     on, off = F.col("total") - F.col("before") >= min_words, F.col("to") >= min_words
-    # repeated rows of one document share its places: count places, not rows
     return d.select(
         *lines.columns,
         F.when(on, F.max("pos").over(fwd) - F.col("pos") + 1).alias("ahead"), F.when(on, F.max("line").over(fwd)).alias("ahead_to"),

@@ -140,6 +140,16 @@ def test_line_dedup_equals_brute_force(spark):
         assert [got[i] or "" for i in range(len(texts))] == brute_lines(texts, least)
 
 
+def test_line_dedup_repeated_rows_are_one_document(spark):
+    passage = "\n".join(" ".join(f"p{i}x{k}" for k in range(4)) for i in range(13))
+    short = "alpha beta gamma\ndelta epsilon zeta"  # six words: too few for a run, unless rows count twice
+    rows = [(1, passage), (1, passage), (2, "another head\n" + passage), (3, "first\n" + short), (3, "first\n" + short), (4, "second\n" + short), (4, "second\n" + short)]
+    rows += [(None, "head of a null id\n" + passage)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.text) for r in line_dedup.cleaned(docs).collect()}
+    assert got == {(1, passage), (2, "another head"), (3, "first\n" + short), (4, "second\n" + short), (None, "head of a null id")}
+
+
 def test_line_dedup_odd_rows(spark):
     docs = odd_docs(spark)
     out = line_dedup.cleaned(docs, 4)
