@@ -1,10 +1,11 @@
 """WARC: resolution of not-modified revisits against the latest earlier full response of the same canonical URL.
 
-An as-of join in two levels: time is cut into blocks; inside a (URL, block) a window finds the latest response
-before each record, and a window over one row per block carries the latest response of earlier blocks forward. No
-URL gathers in one task beyond one block's records, however often it was captured. Only keys and times go through
-the windows; headers and validators are fetched afterwards by record id, a plain join that the planner can split
-where one response answers very many revisits.
+An as-of join over points in time. Records are first reduced to one point per (URL, time) with map-side combining: the
+largest response id there, and whether a revisit asks there; so any number of captures at one time is one row. Points
+are dealt by range of (URL, time) into blocks of about equal count, however often a URL was captured; inside a
+(URL, block) a window finds the latest response before each point, and a window over one row per block carries the
+latest response of earlier blocks forward. Headers and validators are fetched afterwards by record id, a plain join
+that the planner can split where one response answers very many revisits.
 
 A revisit is resolved if its validators agree with the response's: the entity tag where both have one (weak
 comparison), else the last-modified date where both have one. Headers that a 304 may update replace the stored ones;
@@ -25,8 +26,7 @@ from pyspark.sql import functions as F
 
 from tabulon.llm.common import checkpoint
 
-#: Seconds of a time block.
-BLOCK = 86_400
+DAY = 86_400
 #: Headers that a not-modified answer may update.
 PERMITTED = ("age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary", "warning")
 #: Query parameters that don't name content.
@@ -34,15 +34,15 @@ TRACKING = r"^(utm_[a-z]+|ref|fbclid|gclid|sessionid|phpsessionid|sid)(=|$)"
 
 
 def canonical_url(url: Column) -> Column:
-    """Scheme, user, ``www.``, default port, fragment, tracking parameters and a last slash go; host in lower case;
-    parameters sorted."""
-    bare = F.regexp_replace(F.trim(url), "#.*$", "")
-    bare = F.regexp_replace(bare, "^[A-Za-z][A-Za-z0-9+.-]*://", "")
+    """Scheme, user, ``www.``, default port, fragment, tracking parameters, outer blanks and last slashes go, however
+    often they are repeated; host in lower case; parameters sorted. A canonical URL is its own canonical form."""
+    bare = F.regexp_replace(F.regexp_replace(url, r"(?s)#.*$", ""), r"^(?:\s|[A-Za-z][A-Za-z0-9+.-]*://|[^/?@]*@)+|\s+$", "")
     host = F.lower(F.regexp_extract(bare, "^[^/?]*", 0))
-    host = F.regexp_replace(F.regexp_replace(F.regexp_replace(host, "^[^@]*@", ""), ":(80|443)$", ""), "^www[0-9]*\\.", "")
-    path = F.regexp_replace(F.regexp_extract(bare, "^[^/?]*([^?]*)", 1), "/+$", "")
-    query = F.regexp_extract(bare, "\\?(.*)$", 1)
-    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(p).rlike(TRACKING)))
+    host = F.regexp_replace(F.regexp_replace(host, r"(?:\s|:(?:80|443)?)+$", ""), r"^(?:\s|www[0-9]*\.)+", "")
+    path = F.regexp_replace(F.regexp_extract(bare, r"^[^/?]*([^?]*)", 1), r"[/\s]+$", "")
+    query = F.regexp_extract(bare, r"(?s)\?(.*)$", 1)
+    strip = lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")
+    kept = F.array_sort(F.filter(F.transform(F.split(query, "&"), strip), lambda p: (p != "") & ~F.lower(p).rlike(TRACKING)))
     return F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit("")))
 
 
@@ -54,35 +54,33 @@ def lower_names(headers: Column) -> Column:
     return F.map_from_arrays(names, F.transform(names, first))
 
 
-def latest_earlier(records: DataFrame, block: int = BLOCK) -> DataFrame:
-    """record_id, key, ts of each revisit → also source_id: the latest response of its key that is strictly earlier."""
-    r = records.select("record_id", "key", "ts", (F.col("kind") == "response").alias("full"), F.floor(F.col("ts") / block).alias("block"))
-    r = checkpoint(r.filter("key is not null and ts is not null"))
-    me = F.struct("ts", "record_id")
-    blocks = r.filter("full").groupBy("key", "block").agg(F.max(me).alias("last"))
-    # the last response of all blocks before each block that has a record
-    asked = r.filter("not full").select("key", "block").distinct()
-    steps = blocks.select("key", "block", "last").unionByName(asked.withColumn("last", F.lit(None).cast("struct<ts:bigint,record_id:bigint>")))
-    steps = steps.groupBy("key", "block").agg(F.max("last").alias("last"))
+def latest_earlier(records: DataFrame, blocks: int | None = None) -> DataFrame:
+    """Distinct (at_key, at_ts) of the revisits in records (record_id, key, ts, kind) → source_id: the latest response
+    of that key that is strictly earlier (null without any). blocks: how many ranges points are dealt into."""
+    blocks = blocks or int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    full = F.col("kind") == "response"
+    r = records.filter("key is not null and ts is not null").groupBy("key", "ts")
+    r = r.agg(F.max(F.when(full, F.col("record_id"))).alias("id"), F.max(F.col("kind") == "revisit").alias("asked"))
+    r = r.withColumn("me", F.when(F.col("id").isNotNull(), F.struct("ts", "id"))).repartitionByRange(blocks, "key", "ts")
+    r = checkpoint(r.withColumn("block", F.spark_partition_id()))
     ahead = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = checkpoint(steps.select("key", "block", F.max("last").over(ahead).alias("carried")))
-    inside = Window.partitionBy("key", "block").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
-    seen = checkpoint(r.withColumn("near", F.max(F.when(F.col("full"), me)).over(inside)).filter("not full"))
-    joined = seen.join(carried, ["key", "block"], "left")
-    return joined.select("record_id", "key", "ts", F.coalesce(F.col("near.record_id"), F.col("carried.record_id")).alias("source_id"))
+    carried = r.groupBy("key", "block").agg(F.max("me").alias("last")).select("key", "block", F.max("last").over(ahead).alias("carried"))
+    inside = Window.partitionBy("key", "block").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
+    seen = r.withColumn("near", F.max("me").over(inside)).filter("asked")
+    joined = seen.join(checkpoint(carried.filter("carried is not null")), ["key", "block"], "left")
+    return joined.select(F.col("key").alias("at_key"), F.col("ts").alias("at_ts"), F.coalesce(F.col("near.id"), F.col("carried.id")).alias("source_id"))
 
 
-def resolve(records: DataFrame, block: int = BLOCK) -> DataFrame:
+def resolve(records: DataFrame, blocks: int | None = None) -> DataFrame:
     """One row per revisit: record_id, canonical_url, source_id, status, headers (merged where resolved, else own).
 
     status: resolved, no_earlier (no full response before it), mismatch (validators differ), unverified (none in
     common).
     """
     rows = records.select("record_id", canonical_url(F.col("url")).alias("key"), "ts", "kind", lower_names(F.col("headers")).alias("headers"))
-    asof = checkpoint(latest_earlier(rows, block).select(F.col("record_id").alias("rid"), F.col("ts").alias("rts"), F.col("key").alias("rkey"), "source_id").distinct())
-    revisits = rows.filter("kind = 'revisit'")
-    same = (F.col("record_id") == F.col("rid")) & (F.col("ts") == F.col("rts")) & (F.col("key") == F.col("rkey"))
-    asked = revisits.join(asof, same, "left").select("record_id", "key", "headers", "source_id")
+    asof = checkpoint(latest_earlier(rows, blocks))
+    asked = rows.filter("kind = 'revisit'").join(asof, (F.col("key") == F.col("at_key")) & (F.col("ts") == F.col("at_ts")), "left")
+    asked = asked.select("record_id", "key", "headers", "source_id")
     stored = rows.filter("kind = 'response'").select(F.col("record_id").alias("sid"), F.array_sort(F.map_entries("headers")).alias("stored"))
     stored = checkpoint(stored.groupBy("sid").agg(F.min("stored").alias("stored")))
     d = checkpoint(asked).join(stored, F.col("source_id") == F.col("sid"), "left").withColumn("stored", F.map_from_entries("stored"))
@@ -106,7 +104,7 @@ def captures(pages: DataFrame) -> DataFrame:
     """
     t = F.col("page_id") * 600
     tag = F.concat(F.lit('"'), F.substring(F.md5(F.coalesce(F.col("html"), F.lit("")).cast("binary")), 1, 16), F.lit('"'))
-    day = F.concat(F.lit("day "), F.floor(t / BLOCK).cast("string"))
+    day = F.concat(F.lit("day "), F.floor(t / DAY).cast("string"))
     way = F.pmod(F.col("page_id"), F.lit(5))
 
     def headers(**values: Column) -> Column:
@@ -121,7 +119,7 @@ def captures(pages: DataFrame) -> DataFrame:
     own_day = F.when(way == 2, day)
     full = headers(Content_Type=F.lit("text/html"), Content_Length=F.length("html").cast("string"), ETag=tag, Last_Modified=day, Date=t.cast("string"), Cache_Control=F.lit("max-age=60"))
     again = lambda ts: headers(ETag=own_tag, Last_Modified=own_day, Date=ts.cast("string"), Content_Length=F.lit("0"), Expires=(ts + 60).cast("string"))
-    soon, late = t + 300, t + 3 * BLOCK
+    soon, late = t + 300, t + 3 * DAY
     other = F.concat(F.regexp_replace("url", "^https?://", "HTTPS://www."), F.lit("#again"))
     return pages.select(F.inline(F.array(record(0, "response", F.col("url"), t, full), record(1, "revisit", F.col("url"), soon, again(soon)), record(2, "revisit", other, late, again(late)))))
 
@@ -135,15 +133,17 @@ def op1_revisits(spark, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 with p as (select page_id, url, html, page_id * 600 as t, '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' as tag,
   'day ' || cast(page_id * 600 // 86400 as varchar) as dy, page_id % 5 as way from pages),
-c0 as (select *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as bare from p),
-c as (select *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), '^[^@]*@', ''), ':(80|443)$', ''), '^www[0-9]*\.', '') as host,
-  regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') as path,
-  list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda x: x <> '' and
+u as (select page_id * 3 as record_id, url, t as ts, 0 as nr, html, tag, dy, way from p
+  union all select page_id * 3 + 1, url, t + 300, 1, html, tag, dy, way from p
+  union all select page_id * 3 + 2, regexp_replace(url, '^https?://', 'HTTPS://www.') || '#again', t + 259200, 2, html, tag, dy, way from p),
+c0 as (select *, regexp_replace(regexp_replace(url, '(?s)#.*$', ''), '^(?:\s|[A-Za-z][A-Za-z0-9+.-]*://|[^/?@]*@)+|\s+$', '', 'g') as bare from u),
+c as (select *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), '(?:\s|:(?:80|443)?)+$', ''), '^(?:\s|www[0-9]*\.)+', '') as host,
+  regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '[/\s]+$', '') as path,
+  list_sort(list_filter(list_transform(string_split(regexp_extract(bare, '(?s)\?(.*)$', 1), '&'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '' and
     not regexp_matches(lower(x), '^(utm_[a-z]+|ref|fbclid|gclid|sessionid|phpsessionid|sid)(=|$)'))) as q from c0),
 k as (select *, host || path || case when len(q) > 0 then '?' || array_to_string(q, '&') else '' end as key from c),
-full_r as (select page_id * 3 as record_id, key, t as ts, tag, dy, length(html) as n from k),
-rev as (select page_id * 3 + 1 as record_id, key, t + 300 as ts, tag, dy, way from k
-  union all select page_id * 3 + 2, key, t + 259200, tag, dy, way from k),
+full_r as (select record_id, key, ts, tag, dy, length(html) as n from k where nr = 0),
+rev as (select record_id, key, ts, way, tag, dy from k where nr > 0),
 r as (select *, case way when 0 then tag when 1 then 'W/' || tag when 3 then '"other"' end as own_tag, case way when 2 then dy end as own_day from rev),
 j as (select r.record_id, r.key, r.ts, own_tag, own_day, f.record_id as source_id, f.tag as stag, f.dy as sdy, f.n, f.ts as fts
   from r left join full_r f on f.key = r.key and f.ts < r.ts

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,11 +18,30 @@ def rows_of(spark, rows):
     ("example.com/Path/", "example.com/Path"),
     ("https://www2.example.com/?ref=1", "example.com"),
     ("", ""),
+    ("HTTPS://www.www.example.com:443:80/a//?&b= 1 &a#x", "example.com/a?a&b= 1"),
+    ("u@http://v@x.com", "x.com"),
+    (" http://\nx.com::80 /y /\t", "x.com/y"),
 ])
 def test_canonical_url(spark, url, want):
     assert spark.range(1).select(revisits.canonical_url(F.lit(url))).first()[0] == want
 
 
+def test_canonical_url_is_its_own_canonical_form(spark):
+    rng = random.Random(3)
+    pieces = ["http://", "HTTPS://", "www.", "www2.", "a", "B.c", "@", ":", "80", "443", "/", "?", "&", "=", "#", " ", "\n", "ref=1", "utm_x", "x:", "İ"]
+    urls = ["".join(rng.choices(pieces, k=rng.randint(0, 12))) for _ in range(4000)]
+    once = spark.createDataFrame([(u,) for u in urls], "u string").select("u", revisits.canonical_url(F.col("u")).alias("a"))
+    bad = once.withColumn("b", revisits.canonical_url(F.col("a"))).filter("a <> b").collect()
+    assert not bad
+
+
+def test_points_that_fall_together(spark):
+    """Many captures at one time are one point; the latest response strictly before them answers all."""
+    rows = [(i, "h.com", 50, "response" if i % 2 else "revisit", {"etag": "e"}) for i in range(400)] + [(1000, "h.com", 40, "response", {"etag": "e"}), (1001, "h.com", 60, "revisit", {"etag": "e"})]
+    got = {r.record_id: r.source_id for r in revisits.resolve(rows_of(spark, rows), 5).collect()}
+    assert got.pop(1001) == 399 and len(got) == 200 and set(got.values()) == {1000}
+
+
 def test_resolution(spark):
     rows = [
         (1, "http://a.com/x", 100, "response", {"ETag": '"1"', "Content-Type": "t", "Date": "d1"}),
@@ -34,8 +55,8 @@ def test_resolution(spark):
         (9, None, 600_000, "revisit", {"etag": '"2"'}),
         (10, "http://a.com/x", None, "revisit", {"etag": '"2"'}),
     ]
-    for block in (10, 86_400, 10**9):
-        got = {r.record_id: r for r in revisits.resolve(rows_of(spark, rows), block).collect()}
+    for blocks in (1, 3, 50):
+        got = {r.record_id: r for r in revisits.resolve(rows_of(spark, rows), blocks).collect()}
         assert {k: (r.source_id, r.status) for k, r in got.items()} == {
             2: (3, "mismatch"), 4: (3, "resolved"), 5: (1, "resolved"), 6: (None, "no_earlier"),
             7: (3, "resolved"), 8: (3, "unverified"), 9: (None, "no_earlier"), 10: (None, "no_earlier"),
