@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from tabulon.operators import conditional as K
 from tabulon.operators.grid import Workbook
 from tabulon.queries import LINE, query
-from tabulon.session import table
+from tabulon.session import shared_folder, table
 from tabulon.streaming import formulas as S
 
 _L = ", ".join(LINE.split())
@@ -121,7 +119,7 @@ def _stream(spark, sf_dir):
     stream = spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(folder)
     out = S.windowed(stream, "ts", ["event_type"], "1 hour", "0 seconds", total="=SUM([value])", large='=COUNTIF([value],">50")')
     name = f"events_{uuid.uuid4().hex}"
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tabulon-")
+    base = shared_folder(spark)
     q = out.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{base}/{name}").start()
     q.processAllAvailable()
     q.stop()

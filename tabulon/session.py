@@ -24,19 +24,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df written to the reliable checkpoint folder and cut from its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and tables between stages: what ``spark.checkpoint.dir`` names.
 
-    The folder is what ``spark.checkpoint.dir`` names; a local one is made only where that is unset.
+    A folder of this machine is made only where that is unset and the master is local; on a cluster that would lose
+    data silently, so it is an error there.
     """
-    import tempfile
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not getattr(sc, "_tabulon_folder", None):
+        import tempfile
+
+        sc._tabulon_folder = tempfile.mkdtemp(prefix="tabulon-")
+    return sc._tabulon_folder
+
 
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df written to the reliable checkpoint folder and cut from its lineage."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tabulon-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: rows keep the ids that they were written with."""
+    import uuid
+
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors' Python, once per application."""
     import tempfile
