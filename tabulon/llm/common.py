@@ -6,7 +6,6 @@ character, so words are found on bytes.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.session import ship
+from tabulon.session import checkpoint, ship, stored  # noqa: F401 - the operators take these from here
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that may be broadcast; beyond this, joins are left to the planner.
@@ -23,18 +22,6 @@ BROADCAST_ROWS = 500_000
 CHUNK_BYTES = 1 << 20
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes df to the reliable checkpoint folder and returns it without its lineage.
-
-    The folder is what ``spark.checkpoint.dir`` names; only where that is unset (as in tests) a local one is made.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tabulon-"))
-    return df.checkpoint(eager=True)
-
-
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if it has at most so many rows, else df as it is. df must be cheap to count."""
     return F.broadcast(df) if df.count() <= rows else df
@@ -98,13 +85,14 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Chunk:
-    """Some whole texts: rows ``first`` up to ``first + n`` of a batch, as one byte array.
+    """Some texts: rows ``first`` up to ``first + n`` of a batch, as one byte array.
 
-    ``at`` has n + 1 offsets of the texts in ``data``.
+    ``at`` has n + 1 offsets of the texts in ``data``. A long text may come in pieces, each a chunk of its own with
+    whole words; ``begins`` and ``ends`` say whether this one holds the text's first and last.
     """
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, first: int):
-        self.data, self.at, self.first, self.n = data, at, first, len(at) - 1
+    def __init__(self, data: np.ndarray, at: np.ndarray, first: int, begins: bool = True, ends: bool = True):
+        self.data, self.at, self.first, self.n, self.begins, self.ends = data, at, first, len(at) - 1, begins, ends
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of the words in ``data``, and the offsets of each text's words (n + 1)."""
@@ -152,18 +140,39 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), at
 
 
-def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """The texts of a column in chunks of about limit bytes."""
+def chunks(column: pa.Array, limit: int = CHUNK_BYTES, cut: bool = False) -> Iterator[Chunk]:
+    """The texts of a column in chunks of about limit bytes; with cut a longer text comes in pieces, cut after white
+    space, so that memory is bounded by limit and the longest word."""
     if not len(column):
         return
     data, at = texts_of(column)
     first = 0
     while first < len(at) - 1:
         last = max(first + 1, int(np.searchsorted(at, at[first] + limit, "right")) - 1)
-        yield Chunk(data[at[first] : at[last]], at[first : last + 1] - at[first], first)
+        begin, end = int(at[first]), int(at[last])
+        if cut and end - begin > limit:
+            yield from _pieces(data, begin, end, limit, first)
+        else:
+            yield Chunk(data[begin:end], at[first : last + 1] - begin, first)
         first = last
 
 
+def _pieces(data: np.ndarray, begin: int, end: int, limit: int, row: int) -> Iterator[Chunk]:
+    begins = True
+    while begin < end or begins:
+        stop = min(begin + limit, end)
+        if stop < end:
+            white = np.flatnonzero(SPACE[data[begin:stop]])
+            if len(white):
+                stop = begin + int(white[-1]) + 1
+            else:  # a word longer than limit
+                while stop < end and not SPACE[data[stop - 1]]:
+                    white = np.flatnonzero(SPACE[data[stop : stop + limit]])
+                    stop = stop + int(white[0]) + 1 if len(white) else min(stop + limit, end)
+        yield Chunk(data[begin:stop], np.array([0, stop - begin]), row, begins, stop == end)
+        begin, begins = stop, False
+
+
 def per_text(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sums of values between consecutive offsets."""
     s = np.zeros(len(values) + 1, np.float64 if values.dtype.kind == "f" else np.int64)

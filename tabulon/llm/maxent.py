@@ -1,167 +1,134 @@
 """LM scoring: a hashed maximum-entropy model with n-gram and skip features and a class-factored softmax.
 
-p(word | history) = p(class | history) * p(word | class). The class model is a softmax whose weights are sums over
-hashed features of the history: the word before, the two before together, the second and the third before alone, and
-a bias. It is trained by distributed gradient updates: in each round every task runs AdaGrad steps over its texts from the
-broadcast weights, and the weighted mean of the tasks' changes is the round's update. p(word | class) is the word's share
-of its class; words seen once and unseen words form one class, split between them by a Good-Turing estimate, so the
-model is a proper distribution over known words and one unknown.
-
-Counts of all words of the training documents are exact sums by 64-bit word hash and grow with the corpus. They are
-never broadcast as a whole: the vocabulary is cut by hash into blocks of at most BLOCK words (sorted hash arrays, a
-proven size). Counts and scores are sums over tokens, so these visit the texts once per block and take the tokens of
-that block. Gradient steps are not: of the vocabulary they need only whether a token was seen at most once, so with
-several blocks this bit is gathered for all tokens first (one pass per block, joined by text digest), and each step then
-has the targets of all tokens, in the same tasks and order as with one block. Weights have a fixed size.
+p(word | history) = p(class | history) * p(slot | class, history) * p(word | slot). The first two factors are softmaxes
+whose weights are sums over hashed features of the history: of the class, the word before, the two before together,
+the second and the third before alone, and a bias; of the slot, the word before and the two before together, both
+crossed with the class, and a bias. Classes hold SLOTS slots each: one slot is the end of a text, one each the most
+frequent words (classes are bins of them by frequency), and the rest of the vocabulary shares the TAILS slots of its
+words' endings. There p(word | slot) is the word's share of its slot, behind a Good-Turing share for words that were
+never seen; so the model is a proper distribution over the known words and one unknown of each ending.
+
+Training is by distributed gradient updates: in each round every task runs AdaGrad steps over its texts from the
+broadcast weights, and a weight's change is the mean over the tasks that touched it, by how many tokens did so there.
+It needs the list of frequent words only, so no pass depends on the size of the vocabulary.
+
+Counts are exact 64-bit sums by 64-bit word hash over all training documents, and neither counts nor vocabulary ever
+reach the driver or a broadcast. Documents are written once with the group they belong to (GROUP_ROWS rows that stood
+together). A group's distinct words travel as sorted hash arrays, cut into hash ranges; each range is merged and counted
+in one task, which sends every group the counts of the words it asked for; and a group is scored beside its own sorted
+arrays. There are as many ranges as files, so a range is about as large as a file's vocabulary whatever the corpus.
+Every word occurs at most once in a group's arrays, so frequent words are no hot keys.
 
 Tokens are words with A-Z in lower case, then one end token per text. Documents whose crc32(doc_id) mod 7 is 2 are
 held out of all counts and training.
 
 Defined cases: null text counts as empty (one end token); a null id hashes as ``null``; repeated rows count as often
-as they occur; without training documents all tokens are unknown and share one class; empty tables give empty
-results; other columns are ignored.
+as they occur; long texts are read in pieces of CHUNK_BYTES; without training documents all tokens are unknown; empty
+tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import Chunk, checkpoint, chunks, crc_mod, documents, mix, ready_workers, segment_sum, text_digest
+from tabulon.llm.common import Chunk, checkpoint, chunks, crc_mod, documents, mix, ready_workers, segment_sum, stored
 
-CLASSES, FREQUENT = 32, 14
-FEATURE_BITS = 13
-FEATURES = 4
-#: Words of a vocabulary block.
-BLOCK = 6_000_000
+CLASSES, SLOTS, TAILS = 32, 32, 256
+FREQUENT = CLASSES * SLOTS - TAILS - 1
+#: Features of class and slot, and the rows of weights of each (as a power of two).
+CLASS_FEATURES, CLASS_BITS, SLOT_FEATURES, SLOT_BITS = 4, 13, 2, 14
+#: Rows of weights that travel together.
+BLOCK = 256
 ROUNDS = 2
 STEP, RATE = 4096, 0.15
-END, START = np.uint64(1), np.uint64(2)
+#: Documents of a group, as a power of two.
+GROUP_ROWS = 14
+#: Bytes of text handled at once.
+CHUNK_BYTES = 1 << 21
 MODULO, HELD_OUT = 7, 2
-CLASS_END, CLASS_RARE = 0, 1
-_SALT = np.array([0x1234567, 0x89ABCDE, 0xF012345, 0x6789ABC], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+END, START = np.uint64(0x100), np.uint64(0x200)
+_TAIL = np.uint64(TAILS - 1)
+_SALT = np.array([0x1234567, 0x89ABCDE, 0xF012345, 0x6789ABC, 0x3456789, 0xABCDEF1], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+_CROSS = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def tokens(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes with an end token after each text, offsets by text, and a hash of each word's last bytes."""
+def tokens(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """Token hashes, with an end token after each text that ends here, and their offsets by text.
+
+    The low bits of a word's hash tell its ending: a digest of its last two bytes.
+    """
     starts, ends, at = c.words()
     h = c.hashes(starts, ends, lower=True)
-    h[h <= START] += np.uint64(3)
-    n = np.diff(at) + 1
-    out_at = np.concatenate([[0], np.cumsum(n)])
-    out, tail = np.full(out_at[-1], END, np.uint64), np.zeros(out_at[-1], np.int64)
-    place = np.arange(len(h)) + np.repeat(np.arange(c.n), np.diff(at))
-    out[place] = h
     if len(h):
-        last = c.data[ends - 1].astype(np.int64)
-        second = np.where(ends - starts > 1, c.data[np.maximum(ends - 2, 0)], 0).astype(np.int64)
-        tail[place] = last * 31 + second * 7
-    return out, out_at, tail
-
-
-def feature_rows(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(tokens, FEATURES) rows of the weights for each token's history."""
-    n = len(h)
-    before = []
-    place = np.arange(n) - np.repeat(at[:-1], np.diff(at))
-    for back in (1, 2, 3):
-        w = np.full(n, START, np.uint64)
-        w[back:] = h[:-back] if back < n else w[back:]
-        w[place < back] = START
-        before.append(w)
-    one, two, three = before
-    keys = (one, one * np.uint64(0xD6E8FEB86659FD93) + two, two, three)
-    return np.stack([(mix(k ^ s) >> np.uint64(64 - FEATURE_BITS)).astype(np.int32) + (i << FEATURE_BITS) for i, (k, s) in enumerate(zip(keys, _SALT, strict=True))], 1)
-
-
-def count_words(docs: DataFrame) -> DataFrame:
-    """h, n: how often each token occurs in docs."""
-    ready_workers(docs.sparkSession)
-
-    def run(batches):
-        for b in batches:
-            for c in chunks(b.column(0), 1 << 22):
-                h, n = np.unique(tokens(c)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
-
-    return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+        last = c.data[ends - 1].astype(np.uint64)
+        second = np.where(ends - starts > 1, c.data[np.maximum(ends - 2, 0)], 0).astype(np.uint64)
+        h = (np.maximum(h, np.uint64(1 << 12)) & ~_TAIL) | (last * np.uint64(31) + second * np.uint64(7)) & _TAIL
+    n = np.diff(at) + int(c.ends)
+    out_at = np.concatenate([[0], np.cumsum(n)])
+    out = np.full(out_at[-1], END, np.uint64)
+    out[np.arange(len(h)) + np.repeat(np.arange(c.n) if c.ends else np.zeros(c.n, np.int64), np.diff(at))] = h
+    return out, out_at
 
 
-class Block:
-    """One block of the vocabulary and what holds for all of it."""
+class Histories:
+    """Token hashes of chunks with the three words before each; remembers the end of a text that goes on."""
 
-    def __init__(self, number: int, blocks: int, h: np.ndarray, n: np.ndarray, facts: dict):
-        order = np.argsort(h)
-        self.h, self.n = h[order], np.minimum(n[order], 2**31 - 1).astype(np.int32)
-        self.number, self.blocks, self.facts = number, blocks, facts
+    def __init__(self):
+        self.tail = np.full(3, START, np.uint64)
 
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        """Counts of tokens of this block; 0 for unknown ones."""
-        if not len(self.h):
-            return np.zeros(len(h), np.int64)
-        kinds, back = np.unique(h, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.h, kinds), len(self.h) - 1)
-        return np.where(self.h[at] == kinds, self.n[at], 0).astype(np.int64)[back]
+    def of(self, c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes, offsets, and (3, tokens) hashes of the words one, two and three before."""
+        h, at = tokens(c)
+        n = len(h)
+        place = np.arange(n) - np.repeat(at[:-1], np.diff(at))
+        before = np.full((3, n), START, np.uint64)
+        for back in (1, 2, 3):
+            if back < n:
+                before[back - 1, back:] = h[:-back]
+            outside = np.flatnonzero(place < back)
+            before[back - 1, outside] = START if c.begins else self.tail[back - 1 - place[outside]]
+        if not c.ends:
+            self.tail = np.concatenate([h[::-1][:3], self.tail])[:3]
+        else:
+            self.tail = np.full(3, START, np.uint64)
+        return h, at, before
 
-    def mine(self, h: np.ndarray) -> np.ndarray:
-        return np.ones(len(h), bool) if self.blocks == 1 else (h & np.uint64(2**63 - 1)) % np.uint64(self.blocks) == self.number
 
-    def classes(self, h: np.ndarray, n: np.ndarray, tail: np.ndarray) -> np.ndarray:
-        return classes(h, n, tail, self.facts["frequent"])
+def _hashed(keys: list[np.ndarray], salts: np.ndarray, bits: int) -> np.ndarray:
+    return np.stack([(mix(k ^ s) >> np.uint64(64 - bits)).astype(np.int32) + (i << bits) for i, (k, s) in enumerate(zip(keys, salts, strict=True))], 1)
 
 
-def classes(h: np.ndarray, n: np.ndarray, tail: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """End, rare (seen once at most), one class for each of the most frequent words, the rest by their last bytes."""
-    out = 2 + FREQUENT + tail % (CLASSES - 2 - FREQUENT)
-    if len(frequent):
-        order = np.argsort(frequent)
-        at = np.minimum(np.searchsorted(frequent[order], h), len(frequent) - 1)
-        top = frequent[order][at] == h
-        out[top] = 2 + order[at[top]]
-    out[n <= 1] = CLASS_RARE
-    out[h == END] = CLASS_END
-    return out
-
+def class_rows(before: np.ndarray) -> np.ndarray:
+    """(tokens, CLASS_FEATURES) rows of the class weights for each token's history."""
+    one, two, three = before
+    return _hashed([one, one * _CROSS + two, two, three], _SALT[:CLASS_FEATURES], CLASS_BITS)
 
-def vocabulary(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, int, dict]:
-    """The counted words with their block, the number of blocks, and corpus facts (totals, frequent words, class sizes)."""
-    counted = checkpoint(count_words(docs))
-    end = int(END)
-    total = counted.agg(F.sum("n").alias("tokens"), F.count("*").alias("words"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).first()
-    frequent = [r.h for r in counted.filter(F.col("h") != end).filter("n > 1").orderBy(F.desc("n"), "h").limit(FREQUENT).collect()]
-    facts = {"tokens": total.tokens or 0, "words": total.words, "once": total.once, "twice": total.twice, "frequent": np.array(frequent, np.int64).view(np.uint64)}
-    blocks = max(1, -(-total.words // block))
-    return counted, blocks, facts
 
+def slot_rows(before: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """(tokens, SLOT_FEATURES) rows of the slot weights for each token's history and class."""
+    one, two, _ = before
+    crossed = (group.astype(np.uint64) + np.uint64(1)) * _CROSS
+    return _hashed([one ^ crossed, (one * _CROSS + two) ^ crossed], _SALT[CLASS_FEATURES:], SLOT_BITS)
 
-def blocks_of(counted: DataFrame, blocks: int, facts: dict):
-    """The blocks, one at a time."""
-    for k in range(blocks):
-        part = counted if blocks == 1 else counted.filter(F.col("h").bitwiseAND(F.lit(2**63 - 1)) % blocks == k)
-        got = part.toArrow()
-        yield Block(k, blocks, got.column("h").to_numpy().view(np.uint64), got.column("n").to_numpy(), facts)
 
+class Slots:
+    """The slot of each word: 0 for the end, then the frequent words, then one per ending."""
 
-def class_totals(docs: DataFrame, shared, blocks: int) -> np.ndarray:
-    """Tokens of docs by class, of this block's tokens."""
+    def __init__(self, frequent: np.ndarray):
+        order = np.argsort(frequent)
+        self.words, self.rank = frequent[order], order
 
-    def run(batches):
-        out = np.zeros(CLASSES, np.int64)
-        for b in batches:
-            for c in chunks(b.column(0), 1 << 22):
-                block = shared.value
-                h, _, tail = tokens(c)
-                mine = block.mine(h)
-                out += np.bincount(block.classes(h[mine], block.counts(h[mine]), tail[mine]), minlength=CLASSES)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES, dtype=np.int32)), pa.array(out)], ["c", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(CLASSES)
-    for r in rows:
-        out[r.c] = r.n
-    return out
+    def of(self, h: np.ndarray) -> np.ndarray:
+        out = CLASSES * SLOTS - TAILS + (h & _TAIL).astype(np.int64)
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+            top = self.words[at] == h
+            out[top] = 1 + self.rank[at[top]]
+        out[h == END] = 0
+        return out
 
 
 def softmax(w: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -175,180 +142,385 @@ def softmax(w: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return s
 
 
-def rare_bits(docs: DataFrame, shared) -> DataFrame:
-    """th (text digest), bits: the packed bits of a text's tokens, set for words of this block seen at most once."""
+class Weights:
+    """Weights and biases of both softmaxes."""
+
+    def __init__(self, sizes: np.ndarray, used: np.ndarray):
+        """sizes: tokens by slot; slots that no word can have are never predicted."""
+        sizes = np.where(used, sizes + 1.0, 0.0).reshape(CLASSES, SLOTS)
+        with np.errstate(divide="ignore"):
+            self.class_bias = np.maximum(np.log(sizes.sum(1) / max(sizes.sum(), 1)), -1e9).astype(np.float32)
+            self.slot_bias = np.maximum(np.log(sizes / np.maximum(sizes.sum(1, keepdims=True), 1)), -1e9).astype(np.float32)
+        self.of_class = np.zeros((CLASS_FEATURES << CLASS_BITS, CLASSES), np.float32)
+        self.of_slot = np.zeros((SLOT_FEATURES << SLOT_BITS, SLOTS), np.float32)
+
+    def chances(self, before: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """p(slot | history) of each token's own slot."""
+        out, group, inner = np.empty(len(slot)), slot // SLOTS, slot % SLOTS
+        for i in range(0, len(slot), STEP):
+            cut = slice(i, i + STEP)
+            g, here = group[cut], np.arange(len(group[cut]))
+            p = softmax(self.of_class, self.class_bias, class_rows(before[:, cut]))[here, g].astype(np.float64)
+            out[cut] = p * softmax(self.of_slot, self.slot_bias[g], slot_rows(before[:, cut], g))[here, inner[cut]]
+        return out
+
+    def all_chances(self, before: np.ndarray) -> np.ndarray:
+        """(tokens, slots) of p(slot | history)."""
+        p = softmax(self.of_class, self.class_bias, class_rows(before)).astype(np.float64)
+        parts = []
+        for k in range(CLASSES):
+            g = np.full(before.shape[1], k)
+            parts.append(p[:, k : k + 1] * softmax(self.of_slot, self.slot_bias[g], slot_rows(before, g)))
+        return np.concatenate(parts, 1)
+
+
+class Learner:
+    """AdaGrad steps of one task from the shared weights, and what changed."""
+
+    def __init__(self, start: Weights):
+        self.start = start
+        self.tables = [start.of_class.copy(), start.of_slot.copy()]
+        self.biases = [start.class_bias.copy(), start.slot_bias.copy()]
+        self.seen = [np.full(len(t), 1e-2, np.float32) for t in self.tables]
+        self.touched = [np.zeros(len(t), np.float32) for t in self.tables]
+        self.total = 0
+
+    def learn(self, before: np.ndarray, slot: np.ndarray) -> None:
+        group, inner = slot // SLOTS, slot % SLOTS
+        self.total += len(slot)
+        for i in range(0, len(slot), STEP):
+            cut = slice(i, i + STEP)
+            g, here = group[cut], np.arange(len(group[cut]))
+            rows = class_rows(before[:, cut])
+            d = softmax(self.tables[0], self.biases[0], rows)
+            d[here, g] -= 1
+            self.biases[0] -= np.float32(RATE) * d.mean(0)
+            self.step(0, rows, d, CLASS_BITS)
+            rows = slot_rows(before[:, cut], g)
+            d = softmax(self.tables[1], self.biases[1][g], rows)
+            d[here, inner[cut]] -= 1
+            order = np.argsort(g.astype(np.uint8), kind="stable")
+            edge = np.flatnonzero(np.concatenate([[True], np.diff(g[order]) > 0])) if len(g) else order
+            if len(g):
+                self.biases[1][g[order][edge]] -= np.float32(RATE / len(g)) * np.add.reduceat(d[order], edge, axis=0)
+            self.step(1, rows, d, SLOT_BITS)
+
+    def step(self, which: int, rows: np.ndarray, d: np.ndarray, bits: int) -> None:
+        w, seen, touched = self.tables[which], self.seen[which], self.touched[which]
+        for f in range(rows.shape[1]):
+            key = (rows[:, f] - (f << bits)).astype(np.uint16)
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            sums = np.add.reduceat(d[order], edge, axis=0)
+            at = key[edge].astype(np.int64) + (f << bits)
+            seen[at] += np.square(sums).mean(1)
+            w[at] -= np.float32(RATE) * sums / np.sqrt(seen[at])[:, None]
+            touched[at] += np.diff(np.append(edge, len(key))).astype(np.float32)
+
+    def changes(self):
+        """(block, bytes): half-precision changes of a block's rows, and how many tokens touched each; biases last."""
+        block = 0
+        for new, old, touched in zip(self.tables, (self.start.of_class, self.start.of_slot), self.touched, strict=True):
+            for i in range(0, len(new), BLOCK):
+                if touched[i : i + BLOCK].any():
+                    change = np.clip(new[i : i + BLOCK] - old[i : i + BLOCK], -6e4, 6e4).astype(np.float16)
+                    yield block, change.tobytes() + touched[i : i + BLOCK].tobytes()
+                block += 1
+        change = np.vstack([self.biases[0][None] - self.start.class_bias, self.biases[1] - self.start.slot_bias])
+        yield block, np.clip(change, -6e4, 6e4).astype(np.float16).tobytes() + np.full(len(change), self.total, np.float32).tobytes()
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    rows = len(data) // (2 * SLOTS + 4)
+    return np.frombuffer(data, np.float16, rows * SLOTS).reshape(rows, SLOTS).astype(np.float64), np.frombuffer(data, np.float32, rows, rows * SLOTS * 2).astype(np.float64)
+
+
+def updates(texts: DataFrame, slots, weights) -> list[tuple[int, bytes]]:
+    """One distributed round: for each block the mean changes (float32), weighted by the tokens that touched a row."""
 
     def run(batches):
-        block = shared.value
+        learner, history = Learner(weights.value), Histories()
         for b in batches:
-            bits = []
-            for c in chunks(b.column(1)):
-                h, at, _ = tokens(c)
-                rare = block.mine(h)
-                rare[rare] = block.counts(h[rare]) <= 1
-                bits += [np.packbits(rare[i:j]).tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bits, pa.binary())], ["th", "bits"])
+            for c in chunks(b.column(0), CHUNK_BYTES, cut=True):
+                h, _, before = history.of(c)
+                learner.learn(before, slots.value.of(h))
+        if learner.total:
+            for block, data in learner.changes():
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([data], pa.binary())], ["block", "data"])
 
-    return docs.select(text_digest().alias("th"), "text").mapInArrow(run, "th binary, bits binary")
+    def merge(batches):
+        at, sums, weight = None, None, None
 
+        def done():
+            mean = sums / np.maximum(weight, 1)[:, None]
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([mean.astype(np.float32).tobytes()], pa.binary())], ["block", "data"])
 
-def with_rare(docs: DataFrame, passes: list[DataFrame]) -> DataFrame:
-    """docs (text and share) with bits, the bits of every block's pass; in the partitions and order of docs."""
-    found = passes[0]
-    for p in passes[1:]:
-        found = found.union(p)
-    found = found.groupBy("th").agg(F.collect_set("bits").alias("bits"))
-    rows = docs.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("nr"), text_digest().alias("th"), "text", "share")
-    rows = rows.join(found, "th").repartitionById(docs.rdd.getNumPartitions(), F.col("part"))
-    return rows.sortWithinPartitions("nr").select("text", "share", "bits")
+        for b in batches:
+            for block, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                change, n = _unpacked(data.as_buffer())
+                if block != at:
+                    if at is not None:
+                        yield done()
+                    at, sums, weight = block, np.zeros_like(change), np.zeros_like(n)
+                sums += change * n[:, None]
+                weight += n
+        if at is not None:
+            yield done()
 
+    schema = "block int, data binary"
+    out = texts.select("text").mapInArrow(run, schema)
+    got = out.repartition("block").sortWithinPartitions("block").mapInArrow(merge, schema).toArrow()
+    return list(zip(got.column("block").to_pylist(), got.column("data").to_pylist(), strict=True))
 
-def updates(docs: DataFrame, shared_block, shared_w, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One distributed round: the token-weighted mean of the tasks' changes of weights, and of the bias.
 
-    Which tokens are rare is looked up in the block if that is the whole vocabulary, else docs has it as bits.
-    """
-    resolved = "bits" in docs.columns
+def moved(w: Weights, changes: list[tuple[int, bytes]]) -> Weights:
+    """The weights after a round."""
+    first = (CLASS_FEATURES << CLASS_BITS) // BLOCK
+    last = first + (SLOT_FEATURES << SLOT_BITS) // BLOCK
+    for block, data in changes:
+        change = np.frombuffer(data, np.float32).reshape(-1, SLOTS)
+        if block == last:
+            w.class_bias, w.slot_bias = w.class_bias + change[0], w.slot_bias + change[1:]
+        elif block < first:
+            w.of_class[block * BLOCK : (block + 1) * BLOCK] += change
+        else:
+            w.of_slot[(block - first) * BLOCK : (block - first + 1) * BLOCK] += change
+    return w
+
+
+# Counts ----------------------------------------------------------------------------------------------------------
+
+_COUNTED = "kind int, gid long, part int, h binary, n binary, word long, often long"
+ANSWER, WORDS, SUMS = 0, 1, 2
 
-    def counts(b, c, h, at):
-        if not resolved:
-            return shared_block.value.counts(h)
-        out = []
-        for i, n in enumerate(np.diff(at)):
-            packed = [np.frombuffer(x, np.uint8) for x in b.column(1)[c.first + i].as_py()]
-            out.append(np.unpackbits(np.bitwise_or.reduce(packed), count=n))
-        return 2 - np.concatenate(out).astype(np.int64)
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, text and gid, the group: written once, so that all passes see the same groups."""
+    return stored(docs.select("doc_id", (crc_mod(MODULO) == HELD_OUT).alias("held_out"), "text", F.shiftright(F.monotonically_increasing_id(), GROUP_ROWS).alias("gid")))
+
+
+def ranges_of(rows: DataFrame) -> int:
+    """A power of two of about as many hash ranges as rows has files."""
+    return 1 << max(len(rows.inputFiles()) - 1, 0).bit_length()
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    h, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    n = np.zeros(len(h), np.int64)
+    np.add.at(n, back, np.concatenate([p[1] for p in parts]))
+    return h, n
+
+
+def requests(rows: DataFrame, ranges: int) -> DataFrame:
+    """gid, part, h, n: each group's distinct tokens by hash range, sorted, and how often its training texts have them."""
 
     def run(batches):
-        w0, b0 = shared_w.value
-        w, bias = w0.copy(), b0.copy()
-        seen = np.full(len(w), 1e-2, np.float32)
-        total = 0
+        gid, held = None, []
+
+        def done():
+            h, n = _merged(held)
+            part = (h >> np.uint64(32)).astype(np.int64) * ranges >> 32
+            at = np.searchsorted(part, np.arange(ranges + 1))
+            full = np.flatnonzero(np.diff(at))
+            blobs = [pa.array([x[at[k] : at[k + 1]].tobytes() for k in full], pa.binary()) for x in (h, n)]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(full), gid)), pa.array(full.astype(np.int32)), *blobs], ["gid", "part", "h", "n"])
+
         for b in batches:
-            for c in chunks(b.column(0)):
-                h, at, tail = tokens(c)
-                rows = feature_rows(h, at)
-                target = classes(h, counts(b, c, h, at), tail, frequent)
-                total += len(h)
-                for i in range(0, len(h), STEP):
-                    r, y = rows[i : i + STEP], target[i : i + STEP]
-                    g = softmax(w, bias, r)
-                    g[np.arange(len(y)), y] -= 1
-                    bias -= np.float32(RATE) * g.mean(0)
-                    for f in range(FEATURES):
-                        order = np.argsort(r[:, f], kind="stable")
-                        key = r[order, f]
-                        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                        sums = np.add.reduceat(g[order], cut, axis=0)
-                        at_rows = key[cut]
-                        seen[at_rows] += np.square(sums).mean(1)
-                        w[at_rows] -= np.float32(RATE) * sums / np.sqrt(seen[at_rows])[:, None]
-        change = (w - w0).astype(np.float32) * np.float32(total)
-        moved = np.flatnonzero(np.abs(change).max(1) > 0)
-        for i in range(0, len(moved), 20_000):
-            part = moved[i : i + 20_000]
-            yield batch(part, change[part])
-        yield batch(np.array([-1]), ((bias - b0) * total)[None, :])
-        yield batch(np.array([-2]), np.full((1, CLASSES), total, np.float32))
-
-    def batch(idx, values):
-        return pa.RecordBatch.from_arrays([pa.array(idx.astype(np.int32)), *[pa.array(values[:, k].astype(np.float32)) for k in range(CLASSES)]], ["idx", *names])
-
-    names = [f"c{k}" for k in range(CLASSES)]
-    out = docs.select("text", *["bits"] * resolved).mapInArrow(run, "idx int, " + ", ".join(f"{n} float" for n in names))
-    got = out.groupBy("idx").agg(*[F.sum(n).cast("float").alias(n) for n in names]).toArrow()
-    idx = got.column("idx").to_numpy()
-    values = np.stack([got.column(n).to_numpy() for n in names], 1) if len(idx) else np.zeros((0, CLASSES))
-    total = max(float(values[idx == -2].max(initial=0)), 1.0)
-    dw = np.zeros((FEATURES << FEATURE_BITS, CLASSES), np.float32)
-    dw[idx[idx >= 0]] = values[idx >= 0] / total
-    return dw, (values[idx == -1].sum(0) / total).astype(np.float32)
+            own = b.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                if i == j:
+                    continue
+                if own[i] != gid:
+                    if held:
+                        yield done()
+                    gid, held = int(own[i]), []
+                trained = ~b.column(1).slice(i, j - i).to_numpy(zero_copy_only=False)
+                for c in chunks(b.column(2).slice(i, j - i), CHUNK_BYTES, cut=True):
+                    h, at = tokens(c)
+                    kinds, back = np.unique(h, return_inverse=True)
+                    held.append((kinds, np.bincount(back, np.repeat(trained[c.first : c.first + c.n], np.diff(at)), len(kinds)).astype(np.int64)))
+                    if len(held) > 16:
+                        held = [_merged(held)]
+        if held:
+            yield done()
+
+    return rows.select("gid", "held_out", "text").mapInArrow(run, "gid long, part int, h binary, n binary")
+
+
+def counted(asked: DataFrame, ranges: int) -> DataFrame:
+    """What every hash range knows once it is merged: the counts each group asked for (ANSWER), the most frequent words
+    of the range (WORDS), and by ending the tokens, words and words seen once and twice (SUMS)."""
+    names = [x.split()[0] for x in _COUNTED.split(", ")]
+
+    def record(kind, part, gid=(0,), h=(None,), n=(None,), word=(0,), often=(0,)):
+        size = max(map(len, (gid, word)))
+        values = [np.full(size, kind), gid if len(gid) == size else np.zeros(size), np.full(size, part), *(list(x) if len(x) == size else [None] * size for x in (h, n)), *(x if len(x) == size else np.zeros(size) for x in (word, often))]
+        types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(v, t, from_pandas=False) if isinstance(v, list) else pa.array(np.asarray(v).astype(np.int64)).cast(t) for v, t in zip(values, types, strict=True)], names)
+
+    def run(batches):
+        part, held = None, []
+
+        def done():
+            h, n = _merged([(a, b) for _, a, b in held])
+            for i in range(0, len(held), 64):
+                some = held[i : i + 64]
+                yield record(ANSWER, part, [g for g, _, _ in some], [own.tobytes() for _, own, _ in some], [n[np.searchsorted(h, own)].tobytes() for _, own, _ in some])
+            ending = (h & _TAIL).astype(np.int64)
+            ending[h == END] = TAILS
+            sums = [np.bincount(ending, w, TAILS + 1).astype(np.int64) for w in (n, n > 0, n == 1)]
+            yield record(SUMS, part, n=[np.stack(sums).tobytes()])
+            top = np.flatnonzero((n > 0) & (h != END))
+            top = top[np.argsort(-n[top], kind="stable")[:FREQUENT]]
+            if len(top):
+                yield record(WORDS, part, word=h[top].view(np.int64), often=n[top])
 
+        for b in batches:
+            for gid, k, h, n in zip(*(b.column(x).to_pylist() for x in range(4)), strict=True):
+                if k != part:
+                    if held:
+                        yield from done()
+                    part, held = k, []
+                held.append((gid, np.frombuffer(h, np.uint64), np.frombuffer(n, np.int64)))
+        if held:
+            yield from done()
 
-class Maxent:
-    """Vocabulary, weights and class sizes of a trained model."""
+    return asked.repartitionById(ranges, F.col("part")).sortWithinPartitions("part").mapInArrow(run, _COUNTED)
 
-    def __init__(self, counted: DataFrame, blocks: int, facts: dict, w: np.ndarray, bias: np.ndarray, sizes: np.ndarray):
-        self.counted, self.blocks, self.facts, self.w, self.bias, self.sizes = counted, blocks, facts, w, bias, sizes
 
+def _summed(counts: DataFrame) -> np.ndarray:
+    """(3, endings and end): tokens, words, and words seen once; added up on the executors first."""
 
-def fit(docs: DataFrame, block: int = BLOCK, rounds: int = ROUNDS) -> Maxent:
-    """A model of all of docs; each round of updates takes its own share of them."""
-    spark = docs.sparkSession
+    def run(batches):
+        out = np.zeros((3, TAILS + 1), np.int64)
+        for b in batches:
+            for x in b.column(0):
+                out += np.frombuffer(x.as_buffer(), np.int64).reshape(3, -1)
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["n"])
+
+    got = counts.filter(F.col("kind") == SUMS).select("n").mapInArrow(run, "n binary").coalesce(1).mapInArrow(run, "n binary").toArrow()
+    out = np.zeros((3, TAILS + 1), np.int64)
+    for x in got.column("n").to_pylist():
+        out += np.frombuffer(x, np.int64).reshape(3, -1)
+    return out
+
+
+class Maxent:
+    """A trained model: the words' slots, weights, the corpus totals, and of each ending's slot what its words need."""
+
+    def __init__(self, slots: Slots, weights: Weights, sums: np.ndarray, frequent: np.ndarray, counts: np.ndarray):
+        self.slots, self.weights = slots, weights
+        self.tokens, self.words = int(sums[0].sum()), int(sums[1].sum())
+        total, once = sums[0, :TAILS].astype(float), sums[2, :TAILS].astype(float)
+        np.add.at(total, (frequent & _TAIL).astype(np.int64), -counts.astype(float))
+        np.add.at(once, (frequent & _TAIL).astype(np.int64), -(counts == 1).astype(float))
+        self.tail_tokens = total
+        self.unseen = np.where(total > 0, (once + 0.5) / (total + 1), 1.0)
+
+    def shares(self, slot: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """p(word | slot) from the words' counts."""
+        tail = slot - (CLASSES * SLOTS - TAILS)
+        own = np.maximum(tail, 0)
+        known = (1 - self.unseen[own]) * n / np.maximum(self.tail_tokens[own], 1)
+        return np.where(tail < 0, 1.0, np.where(n > 0, known, self.unseen[own]))
+
+
+def fit(rows: DataFrame, rounds: int = ROUNDS) -> tuple[Maxent, DataFrame]:
+    """From grouped documents the model of those not held out, and the counts of all groups' words."""
+    spark = rows.sparkSession
     ready_workers(spark)
-    counted, blocks, facts = vocabulary(docs, block)
-    w, sizes = np.zeros((FEATURES << FEATURE_BITS, CLASSES), np.float32), np.zeros(CLASSES)
-    texts = docs.select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)).alias("share"))
-    passes = []
-    for b in blocks_of(counted, blocks, facts):
-        shared = spark.sparkContext.broadcast(b)
-        sizes += class_totals(docs, shared, blocks)
-        if blocks > 1:
-            passes.append(checkpoint(rare_bits(docs, shared)))
-    bias = np.log((sizes + 1) / (sizes.sum() + CLASSES)).astype(np.float32)
-    if passes:
-        texts = with_rare(texts, passes)
+    ranges = ranges_of(rows)
+    counts = checkpoint(counted(requests(rows, ranges), ranges))
+    top = counts.filter(F.col("kind") == WORDS).orderBy(F.desc("often"), "word").limit(FREQUENT).select("word", "often").collect()
+    frequent = np.array([r.word for r in top], np.int64).view(np.uint64)
+    often = np.array([r.often for r in top], np.int64)
+    sums = _summed(counts)
+    slots = Slots(frequent)
+    sizes, used = np.zeros(CLASSES * SLOTS), np.zeros(CLASSES * SLOTS, bool)
+    used[0] = used[1 : 1 + len(frequent)] = used[-TAILS:] = True
+    sizes[0], sizes[1 : 1 + len(often)] = sums[0, TAILS], often
+    weights = Weights(sizes, used)
+    model = Maxent(slots, weights, sums, frequent, often)
+    sizes[-TAILS:] = model.tail_tokens
+    weights = model.weights = Weights(sizes, used)
+    texts = rows.filter("not held_out").select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)).alias("share"))
+    shared = spark.sparkContext.broadcast(slots)
     for r in range(rounds):
-        dw, db = updates(texts.filter(F.col("share") == r), shared, spark.sparkContext.broadcast((w, bias)), facts["frequent"])
-        w, bias = w + dw, bias + db
-    return Maxent(counted, blocks, facts, w, bias, sizes)
+        sent = spark.sparkContext.broadcast(weights)
+        weights = moved(weights, updates(texts.filter(F.col("share") == r), shared, sent))
+    model.weights = weights
+    return model, counts
 
 
-def score_documents(docs: DataFrame, model: Maxent) -> DataFrame:
+def _balanced(gid: Column, parts: int) -> Column:
+    """The task of a group: partitions of the documents, and the groups inside each, in turn."""
+    bits = 33 - GROUP_ROWS
+    return F.pmod(F.shiftright(gid, bits) + gid.bitwiseAND(F.lit((1 << bits) - 1)), F.lit(parts)).cast("int")
+
+
+def score_documents(rows: DataFrame, model: Maxent, counts: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
-    spark = docs.sparkSession
+    spark = rows.sparkSession
     ready_workers(spark)
-    facts = model.facts
-    n_all, v_all = facts["tokens"], facts["words"]
-    weights = spark.sparkContext.broadcast((model.w, model.bias, model.sizes))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def scored(shared):
-        def run(batches):
-            block, (w, bias, sizes) = shared.value, weights.value
-            once, twice = facts["once"], facts["twice"]
-            unseen = (once + 1) / (once + 2 * twice + 2) if once + twice else 1.0
-            for b in batches:
-                parts = []
-                for c in chunks(b.column(3)):
-                    h, at, tail = tokens(c)
-                    mine = block.mine(h)
-                    place = np.flatnonzero(mine)
-                    n = block.counts(h[place])
-                    y = block.classes(h[place], n, tail[place])
-                    rows = feature_rows(h, at)[place]
-                    p = np.empty(len(place))
-                    for i in range(0, len(place), STEP):
-                        p[i : i + STEP] = softmax(w, bias, rows[i : i + STEP])[np.arange(len(y[i : i + STEP])), y[i : i + STEP]]
-                    rare = np.where(n == 1, (1 - unseen) / max(once, 1), unseen)
-                    inside = np.where(y == CLASS_RARE, rare, n / np.maximum(sizes[y], 1))
-                    logs, base, known = np.zeros(len(h)), np.zeros(len(h)), np.zeros(len(h), np.int64)
-                    logs[place] = np.log10(np.maximum(p * inside, 1e-300))
-                    base[place] = np.log10((n + 1) / (n_all + v_all + 1))
-                    known[place] = n > 0
-                    parts.append((np.diff(at), segment_sum(known, at), segment_sum(base, at), segment_sum(logs, at)))
-                cols = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0)] * 4
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2].astype(float)), pa.array(cols[3].astype(float))], ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-        return run
-
-    held = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", (crc_mod(MODULO) == HELD_OUT).alias("held_out"), "text")
-    schema = f"uid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    passes = []
-    for b in blocks_of(model.counted, model.blocks, facts):
-        out = held.mapInArrow(scored(spark.sparkContext.broadcast(b)), schema)
-        passes.append(out if model.blocks == 1 else checkpoint(out))
-    rows = passes[0]
-    if len(passes) > 1:
-        for p in passes[1:]:
-            rows = rows.union(p)
-        rows = rows.groupBy("uid", "doc_id", "held_out", "n_tokens").agg(*[F.sum(c).alias(c) for c in ("n_known", "base_score", "score")])
-    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
+    shared = spark.sparkContext.broadcast(model)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+
+    def run(batches):
+        m, gid, words, often, table, history = shared.value, None, [], [], None, Histories()
+        base = np.log10(m.tokens + m.words + 1)
+        for b in batches:
+            own, is_text = b.column(0).to_numpy(), b.column(1).to_numpy()
+            edges = [0, *(np.flatnonzero((own[1:] != own[:-1]) | (is_text[1:] != is_text[:-1])) + 1).tolist(), len(own)]
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                if i == j:
+                    continue
+                if own[i] != gid:
+                    gid, words, often, table = own[i], [], [], None
+                if not is_text[i]:
+                    words += [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(3).slice(i, j - i)]
+                    often += [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(4).slice(i, j - i)]
+                    continue
+                if table is None:  # hash ranges in order: the whole is sorted, but where a group was read in two parts
+                    table = np.concatenate(words), np.concatenate(often)
+                    if not (table[0][1:] > table[0][:-1]).all():
+                        kinds, first = np.unique(table[0], return_index=True)
+                        table = kinds, table[1][first]
+                    words, often = [], []
+                n_tokens, n_known, plain, score = np.zeros(j - i, np.int64), np.zeros(j - i, np.int64), np.zeros(j - i), np.zeros(j - i)
+                for c in chunks(b.column(7).slice(i, j - i), CHUNK_BYTES, cut=True):
+                    h, at, before = history.of(c)
+                    kinds, back = np.unique(h, return_inverse=True)
+                    n = table[1][np.searchsorted(table[0], kinds)]
+                    slot = m.slots.of(kinds)
+                    logs = np.log10(np.maximum(m.weights.chances(before, slot[back]), 1e-300)) + np.log10(np.maximum(m.shares(slot, n), 1e-300))[back]
+                    k = slice(c.first, c.first + c.n)
+                    n_tokens[k] += np.diff(at)
+                    n_known[k] += segment_sum((n > 0).astype(np.int64)[back], at)
+                    plain[k] += segment_sum((np.log10(n + 1.0) - base)[back], at)
+                    score[k] += segment_sum(logs, at)
+                yield pa.RecordBatch.from_arrays([b.column(5).slice(i, j - i), b.column(6).slice(i, j - i), *map(pa.array, (n_tokens, n_known, plain, score))], names)
+
+    parts = max(len(rows.inputFiles()), 1)
+    texts = rows.select("gid", F.lit(1).alias("is_text"), F.lit(0).alias("part"), F.lit(None).cast("binary").alias("h"), F.lit(None).cast("binary").alias("n"), "doc_id", "held_out", "text")
+    answers = counts.filter(F.col("kind") == ANSWER).select("gid", F.lit(0).alias("is_text"), "part", "h", "n", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("string").alias("text"))
+    both = texts.unionByName(answers).repartitionById(parts, _balanced(F.col("gid"), parts)).sortWithinPartitions("gid", "is_text", "part")
+    out = both.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def score_corpus(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """All documents scored by the model of those that are not held out."""
+    ready_workers(docs.sparkSession)
+    rows = grouped(docs)
+    model, counts = fit(rows, rounds)
+    return score_documents(rows, model, counts)
 
 
 def op3_maxent(spark, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return score_documents(docs, fit(docs.filter(crc_mod(MODULO) != HELD_OUT)))
+    return score_corpus(documents(spark, sf_dir))
 
 
 QUERIES = {"op3_maxent": op3_maxent}

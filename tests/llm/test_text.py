@@ -95,45 +95,137 @@ def tokens_of(text):
     return [*WORD.findall(low), None]
 
 
-def test_maxent_base_scores_and_blocks(spark):
-    texts = ["the cat sat", "The dog sat down", None, "", "a a a b", "cat É é"] * 4
-    docs = docs_of(spark, texts)
-    train = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 7 != 2]
-    c = Counter(t for i in train for t in tokens_of(texts[i]))
+def brute_maxent(texts, held, model):
+    """(n_tokens, n_known, base, score) of each text by plain Python: counts in dictionaries, the model's weights alone."""
+    keys = [[int(x) for x in maxent.tokens(next(chunks(pa.array([t or ""]))))[0]] for t in texts]
+    words = [tokens_of(t) for t in texts]
+    c, code = Counter(), {}
+    for ks, ws, out in zip(keys, words, held):
+        code.update(zip(ws, ks))
+        if not out:
+            c.update(ws)
     n, v = sum(c.values()), len(c)
-    held = maxent.crc_mod(7) != 2
-    one = maxent.fit(docs.filter(held))
-    rows = {r.doc_id: r for r in maxent.score_documents(docs, one).collect()}
-    for i, t in enumerate(texts):
-        want = tokens_of(t)
-        r = rows[i]
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(want), sum(x in c for x in want), n, i not in train)
-        assert math.isclose(r.base_score, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in want), rel_tol=1e-9)
-        assert r.score <= 0
-    many = {r.doc_id: r for r in maxent.score_documents(docs, maxent.fit(docs.filter(held), block=3)).collect()}
-    for i in rows:
-        assert math.isclose(rows[i].base_score, many[i].base_score, rel_tol=1e-9) and rows[i].n_known == many[i].n_known
-    assert len(maxent.score_documents(odd_docs(spark), one).collect()) == 12
-    assert maxent.score_documents(odd_docs(spark), maxent.fit(empty_docs(spark))).filter("n_known = 0").count() == 12
-
-
-def test_maxent_blocks_do_not_change_the_model(spark):
-    rng = np.random.default_rng(12)
-    words = [f"w{i}" for i in range(400)]
-    texts = [" ".join(words[min(int(x), 399)] for x in rng.zipf(1.3, rng.integers(0, 60))) for _ in range(400)]
-    docs = docs_of(spark, [*texts, None, "", texts[0], texts[0]])
-    train = docs.filter(maxent.crc_mod(7) != 2)
-    one, many = maxent.fit(train), maxent.fit(train, block=100)
-    assert one.blocks == 1 and many.blocks > 2
-    assert np.allclose(one.w, many.w, atol=1e-3) and np.allclose(one.bias, many.bias, atol=1e-4)
-    a, b = (sum(r.score for r in maxent.score_documents(docs, m).collect() if r.held_out) for m in (one, many))
-    assert math.isclose(a, b, rel_tol=1e-4)
-
-
-def test_maxent_model_is_a_distribution(spark):
-    model = maxent.fit(docs_of(spark, ["a b c d a b", "a b x", "c d a", "b b a"]))
-    rows = maxent.feature_rows(np.array([5, 6, 7], np.uint64), np.array([0, 3]))
-    assert np.allclose(maxent.softmax(model.w, model.bias, rows).sum(1), 1, atol=1e-5)
+    top = sorted((w for w in c if w is not None), key=lambda w: (-c[w], code[w] - (code[w] >> 63 << 64)))[: maxent.FREQUENT]
+    place = {w: 1 + i for i, w in enumerate(top)} | {None: 0}
+    slot = {w: place.get(w, maxent.CLASSES * maxent.SLOTS - maxent.TAILS + code[w] % maxent.TAILS) for w in code}
+    total, once = Counter(), Counter()
+    for w, k in c.items():
+        if w not in place:
+            total[slot[w]] += k
+            once[slot[w]] += k == 1
+
+    def share(w):
+        s = slot[w]
+        if w in place:
+            return 1.0
+        unseen = (once[s] + 0.5) / (total[s] + 1) if total[s] else 1.0
+        return (1 - unseen) * c[w] / total[s] if c[w] else unseen
+
+    def row(key, i, bits):
+        h, m = (key ^ int(maxent._SALT[i])) % 2**64, 0xD6E8FEB86659FD93
+        h = (h ^ h >> 32) * m % 2**64
+        h = (h ^ h >> 32) * m % 2**64
+        return ((h ^ h >> 32) >> 64 - bits)
+
+    def soft(scores, at):
+        top = max(scores)
+        return math.exp(scores[at] - top) / sum(math.exp(x - top) for x in scores)
+
+    w, cross, out = model.weights, int(maxent._CROSS), []
+    for ks, ws in zip(keys, words):
+        score = 0.0
+        for i, word in enumerate(ws):
+            one, two, three = (ks[i - b] if i >= b else int(maxent.START) for b in (1, 2, 3))
+            g, inner = divmod(slot[word], maxent.SLOTS)
+            pair = (one * cross + two) % 2**64
+            rows = [row(k, f, maxent.CLASS_BITS) + (f << maxent.CLASS_BITS) for f, k in enumerate((one, pair, two, three))]
+            p = soft([float(w.class_bias[k]) + sum(float(w.of_class[r, k]) for r in rows) for k in range(maxent.CLASSES)], g)
+            by = (g + 1) * cross % 2**64
+            rows = [row(k ^ by, 4 + f, maxent.SLOT_BITS) + (f << maxent.SLOT_BITS) for f, k in enumerate((one, pair))]
+            p *= soft([float(w.slot_bias[g, k]) + sum(float(w.of_slot[r, k]) for r in rows) for k in range(maxent.SLOTS)], inner)
+            score += math.log10(p * share(word))
+        out.append((len(ws), sum(x in c for x in ws), sum(math.log10((c[x] + 1) / (n + v + 1)) for x in ws), score, n))
+    return out
+
+
+def zipf_texts(n=120, kinds=1500, seed=12):
+    rng = np.random.default_rng(seed)
+    words = [f"w{i * 7919 % 10007}" for i in range(kinds)]
+    return [" ".join(words[min(int(x), kinds - 1)] for x in rng.zipf(1.2, rng.integers(0, 60))) for _ in range(n)]
+
+
+def test_maxent_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(maxent, "CHUNK_BYTES", 64)  # pieces on the driver's side of the test only
+    texts = ["the cat sat", "The dog sat down", None, "", "a a a b", "cat É é", *zipf_texts(), "the cat sat"]
+    docs = docs_of(spark, texts).repartition(3)
+    rows = maxent.grouped(docs)
+    model, counts = maxent.fit(rows)
+    got = {r.doc_id: r for r in maxent.score_documents(rows, model, counts).collect()}
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    for i, (n, known, base, score, total) in enumerate(brute_maxent(texts, held, model)):
+        r = got[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (n, known, total, held[i])
+        assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, score, rel_tol=1e-4)
+
+
+def test_maxent_learns_what_follows(spark):
+    rng = np.random.default_rng(3)
+    def text():
+        out = [f"s{rng.integers(40)}"]
+        while len(out) < 60:
+            out.append(f"s{(int(out[-1][1:]) * 7 + 1 + int(rng.integers(2))) % 40}")
+        return " ".join(out)
+    rows = maxent.score_corpus(docs_of(spark, [text() for _ in range(300)])).filter("held_out").collect()
+    assert sum(r.score for r in rows) > 0.75 * sum(r.base_score for r in rows)
+
+
+def test_maxent_pieces_read_like_whole_texts():
+    texts = pa.array([" ".join(zipf_texts(40)), "", None, "x" * 300 + " y", "a b"])
+    def read(cut):
+        history, out = maxent.Histories(), [[] for _ in range(5)]
+        for c in chunks(texts, 50, cut):
+            h, at, before = history.of(c)
+            for i in range(c.n):
+                out[c.first + i].append((h[at[i] : at[i + 1]], before[:, at[i] : at[i + 1]]))
+        return [[np.concatenate([p[k] for p in parts], -1).tolist() for k in (0, 1)] for parts in out]
+    assert read(True) == read(False)
+
+
+def test_maxent_counts_beyond_32_bits(spark):
+    """A word that stands 3 * 2**31 times is counted and scored as such."""
+    def blob(*x, t=np.int64):
+        return np.array(x, t).tobytes()
+    word, end = 0x5000, int(maxent.END)
+    asked = spark.createDataFrame([(g, 0, blob(end, word, t=np.uint64), blob(1, 2**31)) for g in range(3)], "gid long, part int, h binary, n binary")
+    counts = maxent.counted(asked, 1).collect()
+    assert all(np.frombuffer(r.n, np.int64).tolist() == [3, 3 * 2**31] for r in counts if r.kind == maxent.ANSWER)
+    assert [(r.word, r.often) for r in counts if r.kind == maxent.WORDS] == [(word, 3 * 2**31)]
+
+
+def test_maxent_is_a_distribution_over_words(spark):
+    texts = zipf_texts(60)
+    rows = maxent.grouped(docs_of(spark, texts))
+    model, _ = maxent.fit(rows)
+    c = Counter(t for i, x in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2 for t in tokens_of(x))
+    known = {w: maxent.tokens(next(chunks(pa.array([w]))))[0][0] if w else maxent.END for w in c}
+    h = np.array(list(known.values()), np.uint64)
+    slot = model.slots.of(h)
+    before = np.array([[5 << 12, 7 << 12, int(h[3])], [9 << 12, int(h[2]), 3 << 12], [0x200, 0x200, int(h[1])]], np.uint64)
+    p = model.weights.all_chances(before)
+    assert np.allclose(p.sum(1), 1, atol=1e-5)
+    of_known = p[:, slot] @ model.shares(slot, np.array(list(c.values())))
+    tails = np.arange(maxent.TAILS) + maxent.CLASSES * maxent.SLOTS - maxent.TAILS
+    of_unknown = p[:, tails] @ model.shares(tails, np.zeros(len(tails), np.int64))
+    assert np.allclose(of_known + of_unknown, 1, atol=1e-5)
+
+
+def test_maxent_odd_rows(spark):
+    got = maxent.score_corpus(odd_docs(spark)).collect()
+    assert len(got) == 12 and all(math.isfinite(r.score) and r.score < 0 for r in got)
+    assert maxent.score_corpus(empty_docs(spark)).count() == 0
+    alone = docs_of(spark, ["a b", "c"]).filter(maxent.crc_mod(7) == 2)
+    rows = maxent.score_corpus(alone.union(docs_of(spark, [""] * 30).filter(maxent.crc_mod(7) == 2))).collect()
+    assert rows and all(r.n_known == 0 and r.train_tokens == 0 for r in rows)
 
 
 def test_mixing_fills_targets(spark):
