@@ -13,7 +13,8 @@ import operator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.operators.table import Table, fresh
+from tabulon.operators import ranks
+from tabulon.operators.table import TOP, Table, fresh
 
 #: The operators of the rule model.
 OPERATORS = {
@@ -75,13 +76,13 @@ def duplicates(df: DataFrame, columns: list[str], unique: bool = False, flag: st
 
 def top(df: DataFrame, column: str, rank: int = 10, percent: bool = False, bottom: bool = False, flag: str = "flag") -> DataFrame:
     """The highest (or lowest) ranks, ties included: all that reach the value at that rank."""
-    x = F.col(column)
-    n = rank
-    if percent:
-        n = max(1, df.agg(F.count(x)).first()[0] * rank // 100)
-    at = fresh("at")
-    edge = df.filter(x.isNotNull()).select(x.alias(at)).orderBy(F.col(at).asc() if bottom else F.col(at).desc()).limit(n)
-    edge = edge.agg((F.max if bottom else F.min)(at).alias(at))
+    x, at = F.col(column), fresh("at")
+    values = df.filter(x.isNotNull()).select(x.alias(at))
+    if percent or rank > TOP:  # a share of all rows: found by running totals of ranges
+        n = F.greatest(F.floor(F.col("total") * rank / 100), F.lit(1)) if percent else F.least(F.lit(rank), F.col("total"))
+        edge = ranks.at_places(values, [], at, {at: n if bottom else F.col("total") - n + 1})
+    else:
+        edge = values.orderBy(F.col(at).asc() if bottom else F.col(at).desc()).limit(rank).agg((F.max if bottom else F.min)(at).alias(at))
     out = df.join(F.broadcast(edge), how="left")  # one row
     return out.withColumn(flag, F.coalesce(x <= F.col(at) if bottom else x >= F.col(at), F.lit(False))).drop(at)
 
@@ -98,8 +99,11 @@ def above_average(df: DataFrame, column: str, below: bool = False, equal: bool =
 def color_scale(df: DataFrame, column: str, middle: float | None = None, name: str = "scale") -> DataFrame:
     """Place of each value between the least (0) and the greatest (1); with middle (a percentile) that one is 0.5."""
     lo, hi, mid = fresh("lo"), fresh("hi"), fresh("mid")
-    aggs = {lo: F.min(column), hi: F.max(column)} | ({mid: F.percentile(column, middle / 100)} if middle is not None else {})
+    aggs = {lo: F.min(column), hi: F.max(column)}
     out = _with_totals(df, **aggs)
+    if middle is not None:
+        aggs[mid] = None
+        out = out.join(F.broadcast(ranks.quantile(df.select(F.col(column).cast("double").alias("_x")), [], "_x", middle / 100, mid)), how="left")  # one row
     x = F.col(column)
     if middle is None:
         at = F.try_divide(x - F.col(lo), F.col(hi) - F.col(lo))

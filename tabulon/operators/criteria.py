@@ -46,7 +46,7 @@ def parse(v, strict: bool = True) -> Criterion:
         return Criterion("number", "=", float(v))
     if isinstance(v, (int, float)):
         return Criterion("number", "=", float(v))
-    if v is None or v == "" or isinstance(v, (Err, list)):
+    if v is None or isinstance(v, (Err, list)) or not (v := v.strip()):
         return Criterion("empty")
     if m := _OP.fullmatch(v):
         if _NUMBER.fullmatch(m[2]):

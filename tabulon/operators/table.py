@@ -8,6 +8,7 @@ knows their size before the join (from files) or at run time (from the shuffle).
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from dataclasses import dataclass, field, replace
@@ -16,12 +17,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions import columns as C
+from tabulon.operators import ranks
 from tabulon.plans import parser as p
-from tabulon.plans.compiler import Env, compile_node, kind_of
+from tabulon.plans.compiler import PLANNED, Env, Held, compare, compile_node, kind_of, whole_columns
 from tabulon.plans.parser import FormulaError
 from tabulon.session import checkpoint
 
 _fresh = itertools.count()
+#: Literal positions up to which LARGE, SMALL and INDEX are a top-k; beyond, running totals by ranges find them.
+TOP = 10_000
+#: Distinct patterns with wildcards that a column of criteria may hold.
+PATTERNS = 10_000
 
 
 def fresh(prefix: str) -> str:
@@ -83,19 +89,8 @@ class Table:
 
     def group(self, keys: list[str], **formulas: str) -> DataFrame:
         plan = _TotalPlan(self, keys)
-        aggs, after = [], []
-        for name, formula in formulas.items():
-            v = compile_node(p.parse(formula), self.env(True, plan.planned))
-            if v.array:
-                raise FormulaError(f"{formula} gives a whole column")
-            held, err = fresh("v"), fresh("e")
-            if plan.is_side(v):
-                after.append((name, v.col, v.err))
-                continue
-            aggs.append(v.col.alias(held))
-            if v.err is not None:
-                aggs.append(v.err.alias(err))
-            after.append((name, F.col(held), F.col(err) if v.err is not None else None))
+        after = [(name, plan.split(p.parse(formula))) for name, formula in formulas.items()]
+        aggs = plan.aggs
         base = self.df.groupBy(*keys) if keys else self.df.groupBy()
         out = base.agg(*aggs) if aggs else self.df.select(*keys).distinct() if keys else self.df.sparkSession.range(1).select()
         for side in plan.sides:
@@ -104,24 +99,26 @@ class Table:
                 out = out.join(side, same, "left").drop(*[f"_k_{k}" for k in keys])
             else:
                 out = out.join(F.broadcast(side), how="left")  # one row each
-        cols = []
-        for name, col, err in after:
-            cols.append((col if err is None else F.when(err.isNull(), col)).alias(name))
-            if err is not None:
-                cols.append(err.alias(f"{name}_err"))
+        cols, env = [], self.env(False, None)
+        for name, tree in after:
+            v = compile_node(tree, env)
+            cols.append((v.col if v.err is None else F.when(v.err.isNull(), v.col)).alias(name))
+            if v.err is not None:
+                cols.append(v.err.alias(f"{name}_err"))
         return out.select(*keys, *cols)
 
     # positions ----------------------------------------------------------------------------------------------------
 
     def numbered(self, name: str = "row_number") -> Table:
-        """With the 1-based position of each row in the table's order.
+        """With the 1-based position of each row in the table's order; rows that tie there go by their other columns.
 
         Rows are ranged by the order, counted per range, and numbered inside their range from the prefix sum.
         """
         if not self.order_by:
             raise FormulaError("positions need order_by")
         parts = int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ranged = checkpoint(self.df.repartitionByRange(parts, *self.order_by).sortWithinPartitions(*self.order_by).withColumn("_at", F.monotonically_increasing_id()))
+        order = self.full_order()
+        ranged = checkpoint(self.df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
         part = F.shiftright("_at", 33).alias("_part")
         counts = ranged.groupBy(part).agg(F.count("*").alias("_n"))
         ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
@@ -130,6 +127,29 @@ class Table:
         at = F.col("_base") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
         return replace(self, df=out.withColumn(name, at).drop("_at", "_part", "_base"))
 
+    def full_order(self) -> list[str]:
+        """The order's columns, then all others that can be ordered."""
+        rest = [f.name for f in self.df.schema.fields if f.name not in self.order_by and "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+        return [*self.order_by, *rest]
+
+    @staticmethod
+    def spill(spark: SparkSession, formula: str) -> DataFrame:
+        """A formula that gives an array of constants, as rows (row, col, value); SEQUENCE is made on the executors."""
+        from tabulon.plans.evaluator import Context, evaluate
+        from tabulon.plans.values import Err, is_array
+
+        tree = p.parse(formula)
+        if isinstance(tree, p.Call) and tree.name == "SEQUENCE" and 1 <= len(tree.args) <= 4:
+            args = [evaluate(a, Context()) for a in tree.args]
+            if all(isinstance(a, float) for a in args):
+                return Table.sequence(spark, *map(math.trunc, args[:2]), *args[2:])
+        v = evaluate(tree, Context())
+        if isinstance(v, Err):
+            raise FormulaError(v.code)
+        v = v if is_array(v) else [[v]]
+        kind = "double" if all(isinstance(x, float) for r in v for x in r) else "string"
+        return spark.createDataFrame([(i, j, x if kind == "double" else None if x is None else str(x)) for i, r in enumerate(v) for j, x in enumerate(r)], f"row long, col long, value {kind}")
+
     @staticmethod
     def sequence(spark: SparkSession, rows: int, cols: int = 1, start: float = 1.0, step: float = 1.0) -> DataFrame:
         """SEQUENCE as rows (row, col, value), row-major."""
@@ -163,7 +183,15 @@ class _RowPlan:
         if node.name == "COLUMN" and len(node.args) == 1 and isinstance(node.args[0], p.Column):
             names = [c.lower() for c in self.table.df.columns]
             return C.lit(float(names.index(node.args[0].name.lower()) + 1))
+        if node.name in ("ROWS", "COLUMNS") and isinstance(node.args[0], p.Name):
+            return _extent(self.table, node)
         if any(isinstance(x, p.Column) and x.this_row for x in p.walk(node)):
+            if node.name == "MATCH":
+                return self.match(node, env)
+            if node.name == "INDEX" and len(node.args) == 2 and isinstance(node.args[1], p.Call) and node.args[1].name == "MATCH":
+                return self.match(node.args[1], env, node.args[0])
+            if node.name == "MEDIAN" and not whole_columns(node):
+                return C.TABLE["MEDIAN"][2](env, *[compile_node(a, env) for a in node.args])
             return self.per_key(node, env)
         held = fresh("total")
         one = self.table.agg(**{held: node_text(node)})
@@ -183,9 +211,12 @@ class _RowPlan:
             value = args.pop(0)
         elif name in ("SUMIF", "AVERAGEIF"):
             value = args.pop() if len(args) == 3 else args[0]
-        fixed, keys = [], []
+        fixed, keys, wide = [], [], []
         for r, c in zip(args[::2], args[1::2], strict=True):
-            (keys if any(isinstance(x, p.Column) and x.this_row for x in p.walk(c)) else fixed).append((r, c))
+            mine = any(isinstance(x, p.Column) and x.this_row for x in p.walk(c))
+            (fixed if not mine else wide if compile_node(c, env).kind == "text" else keys).append((r, c))
+        if wide:
+            return self.by_criterion(name, value, fixed, keys, wide, env)
         inner = self.table.env(True, None)
         aliases = [fresh("k") for _ in keys]
 
@@ -215,9 +246,128 @@ class _RowPlan:
             return C.num(F.col(held), C.errs(err, F.col(f"{held}_err")))
         return C.num(F.coalesce(F.col(held), F.lit(0.0)), F.col(f"{held}_err") if f"{held}_err" in totals.columns else None)
 
+    def by_criterion(self, name: str, value, fixed: list, keys: list, wide: list, env: Env) -> C.Val:
+        """Conditional aggregates whose criterion is a text of this row: a comparison, a number or a pattern.
+
+        Every distinct criterion is answered once: equal numbers and texts by a join with the values' totals,
+        comparisons from running totals by ranges, patterns with wildcards (PATTERNS of them at most) against the
+        distinct values; the answers are joined back to the rows.
+        """
+        if len(wide) > 1:
+            raise FormulaError("one criterion that is a text of this row at a time")
+        if not self.table.strict_criteria:
+            raise FormulaError("criteria from rows are strict")
+        (range_, criterion), inner, one = wide[0], self.table.env(True, None), fresh("one")
+        r, c = compile_node(range_, inner), compile_node(criterion, env)
+        v = compile_node(value, inner) if value is not None else None
+        if any(x is not None and x.err is not None for x in (r, v)):
+            raise FormulaError(f"{name} with a criterion of this row takes ranges without errors")
+        aliases = [one, *[fresh("k") for _ in keys]]
+
+        def norm(x: C.Val) -> Column:
+            return C.as_number(x)[0] if x.kind in ("num", "bool") else F.lower(F.trim(C.as_text(x)))
+
+        ranges = [compile_node(k, inner) for k, _ in keys]
+        tests = [C.criterion_test(inner, compile_node(k, inner), compile_node(t, inner)) for k, t in fixed] + [k.col.isNotNull() for k in ranges]
+        amount = v.col.cast("double") if v is not None and v.kind == "num" else F.lit(None).cast("double")
+        number = r.col.cast("double") if r.kind in ("num", "bool") else F.lit(None).cast("double")
+        shown = F.lower(F.trim(C.as_text(replace(r, may_be_empty=True))))
+        empty = r.col.isNull() | (r.col == "") if r.kind == "text" else r.col.isNull()
+        cells = self.table.df.filter(F.lit(True) if not tests else _all(tests))
+        cells = cells.select(F.lit(1).alias(one), *[norm(k).alias(a) for k, a in zip(ranges, aliases[1:])], number.alias("x"), shown.alias("t"), empty.alias("e"), amount.alias("a"))
+        totals = {"n": F.count(F.lit(1)).cast("double"), "s": F.coalesce(F.sum("a"), F.lit(0.0)), "m": F.count("a").cast("double")}
+        again = {k: F.sum(k) for k in totals}
+        by = lambda df, *more: df.groupBy(*aliases, *more).agg(*[x.alias(k) for k, x in totals.items()])
+
+        raw, mine = fresh("c"), [fresh("m") for _ in keys]
+        self.df = self.df.withColumn(raw, F.trim(C.as_text(replace(c, may_be_empty=True))))
+        for m, (_, k) in zip(mine, keys):
+            self.df = self.df.withColumn(m, norm(compile_node(k, env)))
+        asked = self.df.select(F.col(raw).alias("raw"), F.lit(1).alias(one), *[F.col(m).alias(a) for m, a in zip(mine, aliases[1:])]).distinct()
+        op, rest = F.regexp_extract("raw", "^(<>|<=|>=|<|>|=)", 1), F.regexp_replace("raw", "^(<>|<=|>=|<|>|=)", "")
+        is_number = rest.rlike(r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$")
+        kind = F.when(F.col("raw") == "", "empty").when(is_number, F.when(op == "", "=").otherwise(op)).when(F.col("raw").rlike("[*?]"), "glob").otherwise("text")
+        asked = checkpoint(asked.withColumns({"kind": kind, "num": F.trim(rest).try_cast("double"), "low": F.lower(F.trim("raw"))}))
+
+        kinds = {k for (k,) in asked.select("kind").distinct().collect()}  # nine at most
+        found = []
+
+        known = cells.filter("x is not null")
+        points = asked.filter("kind not in ('empty', 'glob', 'text')")
+
+        def numbers() -> DataFrame:
+            grid = by(known, "x").unionByName(points.select(*aliases, F.col("num").alias("x"), *[F.lit(0.0).alias(k) for k in totals]).distinct())
+            grid = ranks.prefix_totals(grid, aliases, "x", **again)
+            whole = by(known).select(*aliases, *[F.col(k).alias(f"all_{k}") for k in totals])
+            return points.withColumnRenamed("num", "x").join(grid, [*aliases, "x"]).join(whole, aliases, "left")
+
+        def compared(k: str) -> Column:
+            own, upto, total = F.col(k), F.col(f"upto_{k}"), F.coalesce(F.col(f"all_{k}"), F.lit(0.0))
+            out = F.when(F.col("kind") == "=", own).when(F.col("kind") == "<>", total - own).when(F.col("kind") == "<=", upto)
+            return out.when(F.col("kind") == "<", upto - own).when(F.col("kind") == ">", total - upto).otherwise(total - upto + own).alias(k)
+
+        if kinds - {"empty", "glob", "text"}:
+            found.append(numbers().select("raw", *aliases, *[compared(k) for k in totals]))
+        texts = checkpoint(by(cells, "t")) if kinds & {"glob", "text"} else None
+        if "glob" in kinds:
+            globs = asked.filter("kind = 'glob'")
+            if globs.limit(PATTERNS + 1).count() > PATTERNS:
+                raise FormulaError(f"more than {PATTERNS} patterns")
+            regex = F.concat(F.lit("(?s)^(?:"), F.replace(F.replace(F.regexp_replace("low", r"([\\.^$|()\[\]{}+])", r"\\$1"), F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit(")$"))
+            globs = F.broadcast(globs.select("raw", regex.alias("regex"), *[F.col(a).alias(f"g{a}") for a in aliases]))  # PATTERNS rows at most
+            same = [F.col(a) == F.col(f"g{a}") for a in aliases]
+            found.append(texts.join(globs, [*same, F.regexp_like("t", "regex")]).groupBy("raw", *aliases).agg(*[x.alias(k) for k, x in again.items()]))
+        if "text" in kinds:
+            found.append(asked.filter("kind = 'text'").join(texts.withColumnRenamed("t", "low"), [*aliases, "low"]).select("raw", *aliases, *totals))
+        if "empty" in kinds or not found:
+            found.append(asked.filter("kind = 'empty'").join(by(cells.filter("e")), aliases).select("raw", *aliases, *totals))
+        found = functools.reduce(DataFrame.unionByName, found)
+        out = [fresh("t") for _ in totals]
+        found = found.select(F.col("raw").alias(f"{raw}_"), *[F.col(a).alias(f"{a}_") for a in aliases[1:]], *[F.col(k).alias(o) for k, o in zip(totals, out)])
+        self.df = self.df.join(found, [F.col(raw) == F.col(f"{raw}_"), *[F.col(m) == F.col(f"{a}_") for m, a in zip(mine, aliases[1:])]], "left")
+        self.extra += [raw, *mine, *found.columns]
+        n, total, amounts = (F.coalesce(F.col(o), F.lit(0.0)) for o in out)
+        if name.startswith("AVERAGE"):
+            return C.num(F.try_divide(total, amounts), C.errs(c, C.when_error(amounts == 0, "#DIV/0!")))
+        return C.num(n if name.startswith("COUNT") else total, c.err)
+
+    def match(self, node: p.Call, env: Env, values=None) -> C.Val:
+        """MATCH of this row's value in a whole column, or INDEX of another column at that place: a left join with the
+        first row of each key in the table's order."""
+        if len(node.args) == 3 and _literal(node.args[2], "MATCH") != 0:
+            return C.error("#N/A")
+        v = compile_node(node.args[0], env)
+        if isinstance(node.args[1], p.Array):
+            if values is not None:
+                raise FormulaError("INDEX takes a whole column here")
+            return _among(v, [x for r in node.args[1].rows for x in r], None, env)
+        if not self.table.order_by:
+            raise FormulaError("positions need order_by")
+        k, at, held, mine = fresh("k"), fresh("at"), fresh("v"), fresh("m")
+        numbered = self.table.numbered(at)
+        inner = numbered.env(False, None)
+        there = compile_node(node.args[1], replace(inner, aggregate=True))
+        what = C.num(F.col(at).cast("double")) if values is None else compile_node(values, replace(inner, aggregate=True))
+        if (there.kind == "num") != (v.kind == "num") or (there.kind == "bool") != (v.kind == "bool"):
+            return C.error("#N/A")
+
+        def norm(x: C.Val) -> Column:
+            return C.as_number(x)[0] if x.kind == "num" else x.col if x.kind == "bool" else F.lower(C.as_text(x))
+
+        right = numbered.df.filter(there.col.isNotNull()).select(norm(there).alias(k), F.col(at), what.col.alias(held))
+        right = right.groupBy(k).agg(F.min(F.struct(at, held)).alias("_first")).select(k, F.col("_first")[at].alias(at), F.col("_first")[held].alias(held))
+        self.df = self.df.withColumn(mine, norm(v)).join(right, F.col(mine) == F.col(k), "left")
+        self.extra += [mine, k, at, held]
+        return C.Val(what.kind, F.col(held), C.errs(v, C.when_error(F.col(at).isNull(), "#N/A")), False, True)
+
     def vlookup(self, node: p.Call, env: Env) -> C.Val:
         """VLOOKUP(key, table, column number): a left join with the first row of each key; a miss is #N/A."""
         key, source, number = node.args[:3]
+        if isinstance(source, p.Array):
+            n = math.trunc(_literal(number, "VLOOKUP"))
+            if not 1 <= n <= len(source.rows[0]):
+                return C.error("#VALUE!" if n < 1 else "#REF!")
+            return _among(compile_node(key, env), [r[0] for r in source.rows], [r[n - 1] for r in source.rows], env)
         other = self.table.tables.get(source.name.lower() if isinstance(source, p.Name) else "")
         if other is None:
             raise FormulaError("VLOOKUP needs the name of a table")
@@ -247,61 +397,159 @@ class _RowPlan:
         return C.Val(value.kind, F.col(held), C.errs(v, C.when_error(F.col(hit).isNull(), "#N/A")), False, True)
 
 
-class _TotalPlan:
-    """Order statistics and positional lookups of an aggregate formula, each as a frame of one row (per key)."""
+def _all(tests: list[Column]) -> Column:
+    out = tests[0]
+    for t in tests[1:]:
+        out = out & t
+    return out
+
+
+def _among(v: C.Val, keys: list, values: list | None, env: Env) -> C.Val:
+    """The value beside the first of some literals that equals v, or its place; a miss is #N/A."""
+    found = [C.lit(float(i + 1)) if values is None else compile_node(values[i], env) for i in range(len(keys))]
+    kind = found[0].kind if len({f.kind for f in found}) == 1 else "text"
+    out, hit = F.lit(None).cast({"num": "double", "bool": "boolean"}.get(kind, "string")), F.lit(False)
+    for key, f in reversed(list(zip(keys, found, strict=True))):
+        same = F.coalesce(compare("=", v, compile_node(key, env)), F.lit(False))
+        out, hit = F.when(same, f.col if f.kind == kind else C.as_text(f)).otherwise(out), same | hit
+    return C.Val(kind, out, C.errs(v, C.when_error(~hit, "#N/A")))
 
-    def __init__(self, table: Table, keys: list[str]):
-        self.table, self.keys, self.sides, self.names = table, keys, [], set()
 
-    def is_side(self, v: C.Val) -> bool:
-        return str(v.col._jc.toString()) in self.names
+def _extent(table: Table, node: p.Call) -> C.Val:
+    """ROWS or COLUMNS of a table by name; its rows are counted once."""
+    other = table.tables.get(node.args[0].name.lower())
+    if other is None:
+        raise FormulaError(f"#NAME? {node.args[0].name}")
+    return C.lit(float(len(other.df.columns) if node.name == "COLUMNS" else other.df.count()))
 
-    def side(self, df: DataFrame, name: str, kind: str, miss: str) -> C.Val:
+
+class _TotalPlan:
+    """Splits aggregate formulas: plain totals into one common aggregation, order statistics and positions into frames
+    of one row (per key) of their own; what stands around them is evaluated over the joined results."""
+
+    def __init__(self, table: Table, keys: list[str]):
+        self.table, self.keys, self.sides, self.aggs = table, keys, [], []
+
+    def split(self, node):
+        """The tree with everything that reads the table replaced by held columns."""
+        if isinstance(node, p.Name) and isinstance(text := self.table.names.get(node.name, {k.lower(): v for k, v in self.table.names.items()}.get(node.name.lower())), str):
+            return self.split(p.parse(text))
+        if isinstance(node, p.Call) and (node.name in PLANNED and whole_columns(node) or node.name in ("ROWS", "COLUMNS") and isinstance(node.args[0], p.Name)):
+            return Held(self.planned(node, self.table.env(True, self.planned)))
+        if any(isinstance(x, p.Call) and x.name in PLANNED and whole_columns(x) for x in p.walk(node)):
+            if isinstance(node, p.Unary):
+                return replace(node, arg=self.split(node.arg))
+            if isinstance(node, p.Binary):
+                return replace(node, left=self.split(node.left), right=self.split(node.right))
+            return replace(node, args=tuple(self.split(a) for a in node.args))
+        v = compile_node(node, self.table.env(True, self.planned))
+        if v.array:
+            raise FormulaError("a whole column is no total")
+        if not any(isinstance(x, (p.Column, p.Name, p.Call)) for x in p.walk(node)):
+            return Held(v)
+        held, err = fresh("v"), fresh("e")
+        self.aggs.append(v.col.alias(held))
+        if v.err is not None:
+            self.aggs.append(v.err.alias(err))
+        return Held(replace(v, col=F.col(held), err=F.col(err) if v.err is not None else None, native=None, literal=None))
+
+    def side(self, df: DataFrame, name: str, kind: str, miss: str, empty: bool = False) -> C.Val:
+        """A frame's column as a value; with empty, a null that comes with ``_hit`` is an empty cell, not a miss."""
+        held = [name, "_hit"] if empty else [name]
         if self.keys:
-            df = df.select(*[F.col(k).alias(f"_k_{k}") for k in self.keys], name)
+            df = df.select(*[F.col(k).alias(f"_k_{k}") for k in self.keys], *held)
         else:
-            df = df.groupBy().agg(F.first(name).alias(name))  # one row, null where there is none
+            df = df.groupBy().agg(*[F.first(c).alias(c) for c in held])  # one row, null where there is none
+        missing = F.col(name).isNull()
+        if empty:
+            hit = fresh("hit")
+            df, missing = df.withColumnRenamed("_hit", hit), F.col(hit).isNull()
         self.sides.append(df)
-        col = F.col(name)
-        self.names.add(str(col._jc.toString()))
-        return C.Val(kind, col, C.when_error(col.isNull(), miss))
+        return C.Val(kind, F.col(name), C.when_error(missing, miss), False, empty)
+
+    def number_of(self, node, what: str):
+        """A literal number, or a frame of one row (column ``_k``) that a formula over the table gives."""
+        try:
+            return _literal(node, what)
+        except FormulaError:
+            if self.keys:
+                raise
+            got = self.table.agg(_k=node_text(node))
+            return got.select(F.col("_k").try_cast("double").alias("_k"))
+
+    def values(self, args, env: Env, held: str) -> DataFrame:
+        """The numbers of whole columns and scalars, one column."""
+        t, out = self.table, None
+        for a in args:
+            v = compile_node(a, env)
+            if v.kind != "num":
+                continue
+            col = (v.col if v.err is None else F.when(v.err.isNull(), v.col)).alias(held)
+            if v.array:
+                x = t.df.select(*self.keys, col)
+            elif self.keys:
+                x = t.df.select(*self.keys).distinct().select(*self.keys, col)
+            else:
+                x = t.df.sparkSession.range(1).select(col)
+            out = x if out is None else out.unionByName(x)
+        return t.df.select(*self.keys, F.lit(None).cast("double").alias(held)) if out is None else out.filter(F.col(held).isNotNull())
 
     def planned(self, node: p.Call, env: Env) -> C.Val:
         t, name, args = self.table, node.name, node.args
-        row_env = t.env(False, None)
+        if name in ("ROWS", "COLUMNS"):
+            return _extent(t, node)
         held = fresh("side")
+        if name == "MEDIAN":
+            return self.side(ranks.quantile(self.values(args, env, held), self.keys, held, 0.5, held), held, "num", "#NUM!")
         if name in ("LARGE", "SMALL"):
-            v = compile_node(args[0], env)
-            k = _literal(args[1], name)
+            x = self.values(args[:1], env, held)
+            k = self.number_of(args[1], name)
+            order = F.col(held).desc() if name == "LARGE" else F.col(held).asc()
+            if not isinstance(k, float):
+                k = k.select((F.ceil("_k") if name == "LARGE" else F.floor("_k")).alias("_k"))
+                got = ranks.prefix_totals(x, [], held, n=F.count(F.lit(1)))
+                total = got.agg(F.sum("n").alias("_all"))
+                got = got.join(F.broadcast(total.join(F.broadcast(k), how="inner")), how="inner")  # one row
+                place = F.col("_all") - F.col("_k") + 1 if name == "LARGE" else F.col("_k")
+                return self.side(got.filter((F.col("upto_n") >= place) & (F.col("upto_n") - F.col("n") < place)), held, "num", "#NUM!")
             k = math.ceil(k) if name == "LARGE" else math.floor(k)
-            if k < 1 or v.kind != "num":
+            if k < 1:
                 return C.error("#NUM!")
-            x = t.df.select(*self.keys, v.col.alias(held)).filter(F.col(held).isNotNull())
-            order = F.col(held).desc() if name == "LARGE" else F.col(held).asc()
+            if k > TOP:
+                place = F.col("total") - k + 1 if name == "LARGE" else F.lit(k)
+                return self.side(ranks.at_places(x, self.keys, held, {"v": place}).withColumnRenamed("v", held), held, "num", "#NUM!")
             if self.keys:
                 w = Window.partitionBy(*self.keys).orderBy(order)
                 return self.side(x.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == k), held, "num", "#NUM!")
             return self.side(x.orderBy(order).limit(k).offset(k - 1), held, "num", "#NUM!")
         if not t.order_by or self.keys:
             raise FormulaError(f"{name} needs order_by and no keys")
-        order = F.struct(*[F.col(c) for c in t.order_by])
         if name == "INDEX":
-            r = math.trunc(_literal(args[1], name))
-            if r < 1:
-                return C.error("#VALUE!")
             v = compile_node(args[0], env)
-            x = t.df.orderBy(*t.order_by).select(v.col.alias(held), F.lit(True).alias("_hit")).limit(r).offset(r - 1)
-            return self.side(x, held, v.kind, "#REF!")
+            r = self.number_of(args[1], name)
+            value, hit = (v.col if v.err is None else F.when(v.err.isNull(), v.col)).alias(held), F.lit(True).alias("_hit")
+            if isinstance(r, float):
+                r = math.trunc(r)
+                if r < 1:
+                    return C.error("#VALUE!")
+                if r <= TOP:
+                    return self.side(t.df.orderBy(*t.full_order()).select(value, hit).limit(r).offset(r - 1), held, v.kind, "#REF!", True)
+                r = t.df.sparkSession.range(1).select(F.lit(float(r)).alias("_k"))
+            at, bad = fresh("at"), fresh("bad")
+            found = t.numbered(at).df.join(F.broadcast(r), F.col(at) == F.floor("_k")).select(value, hit)  # one row
+            out = self.side(found, held, v.kind, "#REF!", True)
+            self.sides.append(r.groupBy().agg(F.first("_k").alias(bad)))
+            return replace(out, err=F.when(F.col(bad).isNull(), "#N/A").when(F.col(bad) < 1, "#VALUE!").otherwise(out.err))
         if name == "MATCH":
             if len(args) == 3 and _literal(args[2], name) != 0:
                 return C.error("#N/A")
+            order = F.struct(*[F.col(c) for c in t.full_order()])
             r = compile_node(args[1], env)
-            target = compile_node(args[0], row_env)
+            target = compile_node(args[0], t.env(False, None))
             hit = C.criterion_test(env, r, replace(target, literal=None)) if r.kind == target.kind or "num" in (r.kind, target.kind) else F.lit(False)
             first = t.df.filter(hit).agg(F.min(order).alias("_first"))
-            at = t.df.join(F.broadcast(first), order <= F.col("_first")).agg(F.countDistinct(order).alias("_d"), F.count("*").alias(held))
-            at = at.select(F.when(F.col(held) > 0, F.col(held).cast("double")).alias(held))
-            return self.side(at, held, "num", "#N/A")
+            at = t.df.join(F.broadcast(first), how="inner").agg(F.count_if(order < F.col("_first")).alias("_n"), F.max("_first").alias("_first"))  # one row
+            return self.side(at.select(F.when(F.col("_first").isNotNull(), (F.col("_n") + 1).cast("double")).alias(held)), held, "num", "#N/A")
         raise FormulaError(f"{name} has no meaning in an aggregate formula")
 
 

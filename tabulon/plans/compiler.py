@@ -17,7 +17,7 @@ from tabulon.plans import parser as p
 from tabulon.plans.parser import FormulaError
 
 #: Functions that read whole tables in their own way and are planned by operators.table.
-PLANNED = {"VLOOKUP", "MATCH", "INDEX", "LARGE", "SMALL", "SEQUENCE", "ROW", "COLUMN"}
+PLANNED = {"VLOOKUP", "MATCH", "INDEX", "LARGE", "SMALL", "SEQUENCE", "ROW", "COLUMN", "MEDIAN"}
 #: Calls over whole columns that give one value per row, not one per table.
 ROWWISE = {"IF", "IFERROR", "IFNA", "IFS", "SWITCH", "CHOOSE", "NOT"}
 
@@ -79,7 +79,29 @@ class Env:
         return C.Val("text", F.concat(*out), C.errs(*[F.min(v.err) if v.array and v.err is not None else v.err for v in args]))
 
 
+@dataclass(frozen=True)
+class Held:
+    """A value that stands in a column already."""
+
+    value: C.Val
+
+
+def constant(node, env: Env) -> C.Val:
+    """The value of a tree without columns, such as a call over array literals."""
+    from tabulon.plans.evaluator import Context, evaluate
+    from tabulon.plans.values import Err, is_array
+
+    v = evaluate(node, Context(date_1904=env.date_1904, strict_criteria=env.strict_criteria))
+    if is_array(v):
+        if len(v) * len(v[0]) > 1:
+            raise FormulaError("an array has no place in a table's cell")
+        v = v[0][0]
+    return C.error(v.code) if isinstance(v, Err) else C.lit(v)
+
+
 def compile_node(node, env: Env) -> C.Val:
+    if isinstance(node, Held):
+        return node.value
     if isinstance(node, (p.Num, p.Text, p.Bool)):
         return C.lit(node.value)
     if isinstance(node, p.ErrorLit):
@@ -166,7 +188,11 @@ def whole_columns(node) -> bool:
 
 def call(node: p.Call, env: Env) -> C.Val:
     name = node.name
-    if name in PLANNED and env.planner is not None:
+    below = list(p.walk(node))
+    if any(isinstance(x, p.Array) for x in below) and not any(isinstance(x, (p.Column, p.Name, Held)) for x in below):
+        return constant(node, env)
+    over_table = name in ("ROWS", "COLUMNS") and len(node.args) == 1 and isinstance(node.args[0], p.Name)
+    if env.planner is not None and (over_table or name in PLANNED and (name != "MEDIAN" or whole_columns(node))):
         return env.planner(node, env)
     table = C.TABLE | env.custom
     if name not in table:

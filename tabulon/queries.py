@@ -114,6 +114,13 @@ for _q in (
     ("upper", "part", PART, "=UPPER([@p_name])", "upper(p_name)"),
     ("trim", "documents", DOCS, "=TRIM([@text])", r"trim(regexp_replace(text, '\s+', ' ', 'g'))"),
     ("concat", "part", PART, "=CONCAT([@p_brand],[@p_type])", "p_brand || p_type"),
+    ("concatenate", "part", PART, '=CONCATENATE([@p_brand],"/",[@p_type])', "p_brand || '/' || p_type"),
+    ("findb", "part", PART, '=FINDB("r",[@p_name],2)', "case when instr(substring(p_name, 2), 'r') > 0 then instr(substring(p_name, 2), 'r') + 1::double end", None, True, "case when instr(substring(p_name, 2), 'r') = 0 then '#VALUE!' end"),
+    ("searchb", "part", PART, '=SEARCHB("E",[@p_name])', "cast(nullif(instr(lower(p_name), 'e'), 0) as double)", None, True, "case when instr(lower(p_name), 'e') = 0 then '#VALUE!' end"),
+    ("lenb", "documents", DOCS, "=LENB([@text])", "cast(length(text) as double)"),
+    ("leftb", "part", PART, "=LEFTB([@p_name],3)", "left(p_name, 3)"),
+    ("rightb", "part", PART, "=RIGHTB([@p_name],3)", "right(p_name, 3)"),
+    ("midb", "part", PART, "=MIDB([@p_name],2,3)", "substring(p_name, 2, 3)"),
     ("find", "part", PART, '=FIND("r",[@p_name],2)', "case when instr(substring(p_name, 2), 'r') > 0 then instr(substring(p_name, 2), 'r') + 1::double end", None, True, "case when instr(substring(p_name, 2), 'r') = 0 then '#VALUE!' end"),
     ("search", "part", PART, '=SEARCH("E",[@p_name])', "cast(nullif(instr(lower(p_name), 'e'), 0) as double)", None, True, "case when instr(lower(p_name), 'e') = 0 then '#VALUE!' end"),
     ("exact", "part", PART, "=EXACT([@p_type],UPPER([@p_type]))", "p_type = upper(p_type)"),
@@ -159,6 +166,9 @@ for _q in (
     ("averageifs", "lineitem", "l_returnflag", '=AVERAGEIFS([l_extendedprice],[l_quantity],"<=5",[l_tax],">0.03")', "avg(l_extendedprice) filter (l_quantity <= 5 and l_tax > 0.03::double)", 6),
     ("criteria_not_equal", "lineitem", "", '=COUNTIF([l_linenumber],"<>3")', "cast(count(*) filter (l_linenumber <> 3) as double)"),
     ("criteria_one_letter", "part", "", '=COUNTIF([p_name],"?e*")', "cast(count(*) filter (regexp_full_match(lower(p_name), '.e.*', 's')) as double)"),
+    ("criteria_number_text", "lineitem", "", '=COUNTIF([l_linenumber]," 5 ")', "cast(count(*) filter (l_linenumber = 5) as double)"),
+    ("criteria_literal_text", "part", "", '=COUNTIF([p_name],">a")+COUNTIF([p_name],"<>red gear")', "cast(count(*) filter (p_name like '>%') as double)"),
+    ("criteria_empty", "part", "", '=COUNTIF([p_name],"  ")', "cast(count(*) filter (coalesce(p_name, '') = '') as double)"),
     ("sumproduct", "lineitem", "l_returnflag", "=SUMPRODUCT([l_extendedprice],[l_discount])", "sum(l_extendedprice * l_discount)", 2),
     ("sumproduct_array", "lineitem", "", "=SUMPRODUCT(([l_quantity]>10)*([l_tax]>0.03)*[l_extendedprice])", "sum(case when l_quantity > 10 and l_tax > 0.03::double then l_extendedprice else 0 end)", 2),
     ("median", "lineitem", "l_returnflag", "=MEDIAN([l_extendedprice])", "median(l_extendedprice)", 4),
@@ -206,14 +216,93 @@ def _column(spark, sf_dir):
     return _part(spark, sf_dir).with_formula("v", "=COLUMN([p_brand])").df.select("p_partkey", "v")
 
 
-@query("columns", "select 6 as v")
+@query("columns", "select p_partkey, 6::double as v, 1::double as w, (select cast(count(*) as double) from nation) as n from part")
 def _columns(spark, sf_dir):
-    return spark.range(1).select(F.lit(len(table(spark, sf_dir, "part").columns)).alias("v"))
+    part = table(spark, sf_dir, "part")
+    t = Table(part, tables={"parts": Table(part), "nations": Table(table(spark, sf_dir, "nation"))})
+    t = t.with_formula("v", "=COLUMNS(parts)").with_formula("w", "=COLUMNS([p_name])").with_formula("n", "=ROWS(nations)")
+    return t.df.select("p_partkey", "v", "w", "n")
 
 
 @query("sequence", "select cast(range // 4 as bigint) as row, cast(range % 4 as bigint) as col, 2.0::double + 3 * range as value from range(0, 20)")
 def _sequence(spark, sf_dir):
-    return Table.sequence(spark, 5, 4, 2, 3)
+    return Table.spill(spark, "=SEQUENCE(2+3,4,2,3)")
+
+
+@query("array_literal", "select l_returnflag, 6::double + sum(l_linenumber) as v, 13::double as w, 2::double as m from lineitem group by l_returnflag")
+def _array_literal(spark, sf_dir):
+    got = Table(table(spark, sf_dir, "lineitem")).group(["l_returnflag"], v="=SUM({1,2;3,0})+SUM([l_linenumber])", w='=SUMIF({1,5,3,8,2},">3")', m="=MATCH(3,{1,3,5},0)")
+    return got.select("l_returnflag", "v", "w", "m")
+
+
+@query("array_lookup", "select o_orderkey, case o_orderstatus when 'F' then 'final' when 'O' then 'open' end as v, case o_orderstatus when 'F' then 1::double when 'O' then 2 end as w from orders")
+def _array_lookup(spark, sf_dir):
+    t = Table(table(spark, sf_dir, "orders")).with_formula("v", '=VLOOKUP([@o_orderstatus],{"f","final";"o","open"},2,FALSE)').with_formula("w", '=MATCH([@o_orderstatus],{"f","o"},0)')
+    return t.df.select("o_orderkey", "v", "w")
+
+
+@query("index_match", "select (select p_retailprice from part where lower(p_name) = 'red gear' order by p_partkey limit 1) as v")
+def _index_match(spark, sf_dir):
+    return _part(spark, sf_dir).agg(v='=INDEX([p_retailprice],MATCH("red gear",[p_name],0))').select("v")
+
+
+@query("index_match_per_row", "select a.p_partkey, b.p_partkey::double as v from part a join (select p_name, min(p_partkey) as p_partkey from part group by 1) b on a.p_name = b.p_name")
+def _index_match_row(spark, sf_dir):
+    return _part(spark, sf_dir).with_formula("v", "=INDEX([p_partkey],MATCH([@p_name],[p_name],0))").df.select("p_partkey", "v")
+
+
+@query("index_far", "select v from (select l_extendedprice as v, row_number() over (order by l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice) as r from lineitem) where r = 23456")
+def _index_far(spark, sf_dir):
+    t = Table(table(spark, sf_dir, "lineitem"), order_by=("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"))
+    return t.agg(v="=INDEX([l_extendedprice],23456)").select("v")
+
+
+@query("iferror_match", "select -1::double as v, -2::double as w")
+def _iferror_match(spark, sf_dir):
+    return _part(spark, sf_dir).agg(v='=IFERROR(MATCH("zz",[p_name],0),-1)', w='=IFNA(INDEX([p_size],MATCH("zz",[p_name],0)),-2)').select("v", "w")
+
+
+@query("match_ties", "select cast(1 + (select count(*) from orders where o_orderstatus < 'O') as double) as v")
+def _match_ties(spark, sf_dir):
+    """Rows that tie in the order still have places of their own."""
+    return Table(table(spark, sf_dir, "orders"), order_by=("o_orderstatus",)).agg(v='=MATCH("o",[o_orderstatus],0)').select("v")
+
+
+@query("large_plus_sum", """select l_returnflag, round(max(case when r = 2 then l_extendedprice end) + sum(l_extendedprice), 2) as v, round(median(l_extendedprice) / max(l_extendedprice), 8) as w
+    from (select *, row_number() over (partition by l_returnflag order by l_extendedprice desc) as r from lineitem) group by 1""")
+def _large_plus_sum(spark, sf_dir):
+    got = Table(table(spark, sf_dir, "lineitem")).group(["l_returnflag"], v="=LARGE([l_extendedprice],2)+SUM([l_extendedprice])", w="=MEDIAN([l_extendedprice])/MAX([l_extendedprice])")
+    return got.select("l_returnflag", F.round("v", 2).alias("v"), F.round("w", 8).alias("w"))
+
+
+@query("large_far", "select v from (select l_extendedprice as v, row_number() over (order by l_extendedprice desc) as r from lineitem) where r = (select count(*) // 2 from lineitem)")
+def _large_far(spark, sf_dir):
+    return Table(table(spark, sf_dir, "lineitem")).agg(v="=LARGE([l_extendedprice],INT(ROWS([l_extendedprice])/2))").select("v")
+
+
+@query("median_mixed", "select median(x) as v from (select p_size as x from part union all select p_retailprice from part union all select 7)")
+def _median_mixed(spark, sf_dir):
+    return Table(table(spark, sf_dir, "part")).agg(v="=MEDIAN([p_size],[p_retailprice],7)").select("v")
+
+
+@query("countif_row_operator", "select p_partkey, (select cast(count(*) as double) from part q where q.p_size > p.p_size) as v, (select cast(count(*) as double) from part q where q.p_size <= p.p_size) as w from part p")
+def _countif_operator(spark, sf_dir):
+    t = _part(spark, sf_dir).with_formula("v", '=COUNTIF([p_size],">"&[@p_size])').with_formula("w", '=COUNTIF([p_size],"<="&[@p_size])')
+    return t.df.select("p_partkey", "v", "w")
+
+
+@query("sumifs_row_operator", """select o_orderkey, round(coalesce((select sum(q.o_totalprice) from orders q where q.o_custkey = o.o_custkey and q.o_totalprice < floor(o.o_totalprice) and q.o_orderstatus <> 'P'), 0), 2) as v,
+    round((select avg(q.o_totalprice) from orders q where q.o_custkey = o.o_custkey and q.o_totalprice >= floor(o.o_totalprice)), 8) as w from orders o""")
+def _sumifs_operator(spark, sf_dir):
+    t = Table(table(spark, sf_dir, "orders")).with_formula("v", '=SUMIFS([o_totalprice],[o_custkey],[@o_custkey],[o_totalprice],"<"&INT([@o_totalprice]),[o_orderstatus],"?")-SUMIFS([o_totalprice],[o_custkey],[@o_custkey],[o_totalprice],"<"&INT([@o_totalprice]),[o_orderstatus],"p")')
+    t = t.with_formula("w", '=AVERAGEIFS([o_totalprice],[o_custkey],[@o_custkey],[o_totalprice],">="&INT([@o_totalprice]))')
+    return _rounded(_rounded(t.df.select("o_orderkey", "v", "w"), 2), 8, "w")
+
+
+@query("countif_row_pattern", "select p_partkey, (select cast(count(*) as double) from part q where starts_with(lower(q.p_name), lower(left(p.p_name, 1)))) as v, (select cast(count(*) as double) from part q where q.p_type = p.p_type) as w from part p")
+def _countif_pattern(spark, sf_dir):
+    t = _part(spark, sf_dir).with_formula("v", '=COUNTIF([p_name],LEFT([@p_name],1)&"*")').with_formula("w", "=COUNTIF([p_type],[@p_type])")
+    return t.df.select("p_partkey", "v", "w")
 
 
 @query("vlookup", "select l_orderkey, l_partkey, l_linenumber, l_extendedprice, o_totalprice as v from lineitem left join orders on l_orderkey = o_orderkey")
@@ -271,19 +360,22 @@ def _custom(spark, sf_dir):
     return t.with_formula("v", "=TWICE([@p_retailprice])+[@p_size]").df.select("p_partkey", "v")
 
 
-@query("rand")
+@query("rand", "select c_custkey, true as inside, true as varies from customer")
 def _rand(spark, sf_dir):
-    return Table(table(spark, sf_dir, "region")).with_formula("v", "=RAND()").df.select("r_regionkey", "v")
+    """Random numbers can't equal another engine's, but their bounds and that rows differ can."""
+    t = Table(table(spark, sf_dir, "customer")).with_formula("v", "=RAND()").with_formula("inside", "=AND([@v]>=0,[@v]<1)").with_formula("varies", "=MIN([v])<MAX([v])")
+    return t.df.select("c_custkey", "inside", "varies")
 
 
-@query("randbetween")
+@query("randbetween", "select c_custkey, true as inside from customer")
 def _randbetween(spark, sf_dir):
-    return Table(table(spark, sf_dir, "region")).with_formula("v", "=RANDBETWEEN(1,6)").df.select("r_regionkey", "v")
+    t = Table(table(spark, sf_dir, "customer")).with_formula("v", "=RANDBETWEEN(1,6)").with_formula("inside", "=AND([@v]>=1,[@v]<=6,INT([@v])=[@v])")
+    return t.df.select("c_custkey", "inside")
 
 
-@query("now_today")
+@query("now_today", "select r_regionkey, true as same_day, cast(date_diff('day', date '1899-12-30', cast(now() at time zone 'UTC' as date)) as double) as d from region")
 def _now(spark, sf_dir):
-    return Table(table(spark, sf_dir, "region")).with_formula("v", "=NOW()").with_formula("d", "=TODAY()").df.select("r_regionkey", "v", "d")
+    return Table(table(spark, sf_dir, "region")).with_formula("same_day", "=INT(NOW())=TODAY()").with_formula("d", "=TODAY()").df.select("r_regionkey", "same_day", "d")
 
 
 @query(

@@ -33,6 +33,14 @@ _rule("cf_bottom_percent", "orders", "o_orderkey", lambda d: K.top(d, "o_totalpr
 _rule("cf_above_average", "orders", "o_orderkey", lambda d: K.above_average(d, "o_totalprice"), "o_totalprice > avg(o_totalprice) over ()")
 _rule("cf_deviation", "orders", "o_orderkey", lambda d: K.above_average(d, "o_totalprice", deviations=1), "o_totalprice > avg(o_totalprice) over () + stddev_pop(o_totalprice) over ()")
 _rule("cf_time_period", "orders", "o_orderkey", lambda d: K.time_period(d, "o_orderdate", "lastMonth", "1996-03-15"), "date_trunc('month', o_orderdate) = date '1996-02-01'")
+for _period, _sql in (
+    ("today", "d = date '1996-03-15'"), ("yesterday", "d = date '1996-03-14'"), ("tomorrow", "d = date '1996-03-16'"), ("last7Days", "d between date '1996-03-09' and date '1996-03-15'"),
+    ("thisWeek", "d between date '1996-03-10' and date '1996-03-16'"), ("lastWeek", "d between date '1996-03-03' and date '1996-03-09'"), ("nextWeek", "d between date '1996-03-17' and date '1996-03-23'"),
+    ("thisMonth", "date_trunc('month', d) = date '1996-03-01'"), ("nextMonth", "date_trunc('month', d) = date '1996-04-01'"),
+):
+    _rule(f"cf_{_period}", "orders", "o_orderkey", lambda d, period=_period: K.time_period(d, "o_orderdate", period, "1996-03-15"), _sql.replace("d ", "cast(o_orderdate as date) ", 1).replace("', d)", "', cast(o_orderdate as date))"))
+_rule("valid_time", "events", "event_id", lambda d: K.valid(d, "ts", "time", "between", "06:00:00", "18:30:00", flag="flag"), "strftime(ts, '%H:%M:%S') between '06:00:00' and '18:30:00'")
+_rule("valid_any", "part", "p_partkey", lambda d: K.valid(d, "p_size", "any", flag="flag"), "true")
 _rule("valid_whole", "part", "p_partkey", lambda d: K.valid(d, "p_size", "whole", "between", 5, 40, flag="flag"), "p_size between 5 and 40")
 _rule("valid_decimal", "customer", "c_custkey", lambda d: K.valid(d, "c_acctbal", "decimal", "greaterThan", 0, flag="flag"), "c_acctbal > 0")
 _rule("valid_list", "orders", "o_orderkey", lambda d: K.valid(d, "o_orderstatus", "list", values=["F", "O"], flag="flag"), "o_orderstatus in ('F', 'O')")
@@ -69,6 +77,14 @@ def _icons(spark, sf_dir):
     return K.icon_set(table(spark, sf_dir, "orders"), "o_totalprice").select("o_orderkey", "icon")
 
 
+for _style, _steps in (("4", (0.0, 25.0, 50.0, 75.0)), ("5", (0.0, 20.0, 40.0, 60.0, 80.0))):
+    _reached = " + ".join(f"(q >= {t})::int" for t in _steps[1:])
+    query(f"cf_icon_set_{_style}", f"""with s as (select o_orderkey, (o_totalprice - min(o_totalprice) over ()) / (max(o_totalprice) over () - min(o_totalprice) over ()) * 100 as q from orders)
+    select o_orderkey, cast({_reached} as int) as icon, cast({len(_steps) - 1} - ({_reached}) as int) as turned from s""")(
+        lambda spark, sf_dir, steps=_steps: K.icon_set(K.icon_set(table(spark, sf_dir, "orders"), "o_totalprice", steps), "o_totalprice", steps, reverse=True, name="turned").select("o_orderkey", "icon", "turned")
+    )
+
+
 @query("cf_priority", f"select {_L}, case when l_quantity > 40 then 'high' when l_discount > 0.05::double then 'cheap' end as format from lineitem")
 def _priority(spark, sf_dir):
     d = K.cell_is(table(spark, sf_dir, "lineitem"), "l_quantity", "greaterThan", 40, flag="a")

@@ -86,9 +86,13 @@ def write_file(sheet: Worksheet, path: str, **options) -> None:
 # DataFrames -------------------------------------------------------------------------------------------------------
 
 
-def scan(spark: SparkSession, path: str, delimiter: str = ",", quote: str = '"', has_header: bool = True, infer: bool = False, schema=None) -> DataFrame:
-    """CSV files of any size as a table; ragged rows fail the job. infer reads the data once more."""
-    reader = spark.read.option("sep", delimiter).option("quote", quote).option("escape", quote).option("header", has_header).option("mode", "FAILFAST").option("multiLine", False)
+def scan(spark: SparkSession, path: str, delimiter: str = ",", quote: str = '"', has_header: bool = True, infer: bool = False, schema=None, line_breaks: bool = True) -> DataFrame:
+    """CSV files of any size as a table; ragged rows fail the job. infer reads the data once more.
+
+    Quoted fields may hold line breaks, so a file is read whole by one task; without them (line_breaks=False) large
+    files are split.
+    """
+    reader = spark.read.option("sep", delimiter).option("quote", quote).option("escape", quote).option("header", has_header).option("mode", "FAILFAST").option("multiLine", line_breaks)
     return reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", infer).csv(path)
 
 

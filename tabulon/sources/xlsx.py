@@ -86,18 +86,23 @@ def _rels(z: zipfile.ZipFile, part: str) -> dict[str, tuple[str, str]]:
     return out
 
 
-def read_bytes(data: bytes) -> Workbook:
+def _parts(data: bytes):
+    """The package, its workbook part, relations, shared strings and styles."""
     z = zipfile.ZipFile(io.BytesIO(data))
     root = _xml(z, "xl/workbook.xml")
     if root is None or "[Content_Types].xml" not in z.namelist():
         raise ValueError("not a workbook")
+    strings = _xml(z, "xl/sharedStrings.xml")
+    shared = [_runs(si) for si in strings] if strings is not None else []
+    return z, root, _rels(z, "xl/workbook.xml"), shared, _read_styles(_xml(z, "xl/styles.xml"))
+
+
+def read_bytes(data: bytes) -> Workbook:
+    z, root, rels, shared, styles = _parts(data)
     book = Workbook()
     pr = root.find(f"{_N}workbookPr")
     book.date_1904 = pr is not None and pr.get("date1904") in ("1", "true")
-    rels = _rels(z, "xl/workbook.xml")
-    strings = _xml(z, "xl/sharedStrings.xml")
-    shared = [_runs(si) for si in strings] if strings is not None else []
-    book.styles = _read_styles(_xml(z, "xl/styles.xml"))
+    book.styles = styles
     for s in root.iter(f"{_N}sheet"):
         sheet = book.add_sheet(s.get("name"))
         sheet.visible = s.get("state") not in ("hidden", "veryHidden")
@@ -128,7 +133,34 @@ def _value(kind: str, v: str | None, shared: list[str]):
     return float(v)
 
 
+def iter_rows(data: bytes, most: int = 50_000):
+    """The cells of a workbook as lists of long rows, sheet by sheet while they are read: a sheet is never held whole."""
+    z, root, rels, shared, _ = _parts(data)
+    for s in root.iter(f"{_N}sheet"):
+        kind, part = rels.get(s.get(f"{_R}id"), ("", ""))
+        if part not in z.namelist():
+            continue
+        sheet = Worksheet(s.get("name"), None)
+        for _ in _events(z, part, sheet, shared):
+            if len(sheet._cells) >= most:
+                yield sheet.rows()
+                sheet._cells.clear()
+        if sheet._cells:
+            yield sheet.rows()
+
+
 def _read_sheet(z: zipfile.ZipFile, part: str, sheet: Worksheet, shared: list[str]) -> None:
+    for _ in _events(z, part, sheet, shared):
+        pass
+    for kind, target in _rels(z, part).values():
+        if kind == "comments" and (root := _xml(z, target)) is not None:
+            authors = [a.text or "" for a in root.iter(f"{_N}author")]
+            for c in root.iter(f"{_N}comment"):
+                sheet.set_comment(c.get("ref"), _runs(c.find(f"{_N}text")), authors[int(c.get("authorId", 0))] if authors else "")
+
+
+def _events(z: zipfile.ZipFile, part: str, sheet: Worksheet, shared: list[str]):
+    """Fills sheet from its part; comes back after every row."""
     masters: dict[str, tuple[str, int, int]] = {}
     columns: dict[str, int] = {}
     row_at = -1
@@ -180,6 +212,7 @@ def _read_sheet(z: zipfile.ZipFile, part: str, sheet: Worksheet, shared: list[st
                 if e.get("hidden") in ("1", "true"):
                     sheet.hidden_rows.add(row_at)
                 e.clear()
+                yield
             elif tag == "col":
                 for c in range(int(e.get("min")) - 1, min(int(e.get("max")), p.MAX_COLS)):
                     if e.get("width") and e.get("customWidth") in ("1", "true"):
@@ -205,11 +238,6 @@ def _read_sheet(z: zipfile.ZipFile, part: str, sheet: Worksheet, shared: list[st
                     sheet.conditional_formats.append({"range": e.get("sqref"), **rule})
             elif tag == "pageSetup":
                 sheet.page_setup = dict(e.attrib)
-    for kind, target in _rels(z, part).values():
-        if kind == "comments" and (root := _xml(z, target)) is not None:
-            authors = [a.text or "" for a in root.iter(f"{_N}author")]
-            for c in root.iter(f"{_N}comment"):
-                sheet.set_comment(c.get("ref"), _runs(c.find(f"{_N}text")), authors[int(c.get("authorId", 0))] if authors else "")
 
 
 def _attrs(node) -> dict:
@@ -399,18 +427,62 @@ def write_file(book: Workbook, path: str) -> None:
 # DataFrames -------------------------------------------------------------------------------------------------------
 
 
-def scan(spark: SparkSession, path: str, read=read_bytes) -> DataFrame:
-    """All cells of all workbooks under path, with their file: long rows, read on the executors."""
+def _whole(read):
+    """Blocks of rows of a workbook that a reader gives whole."""
+    return lambda data: (s.rows() for s in read(data)._sheets)
+
+
+def cells_of(files: DataFrame, read=None) -> DataFrame:
+    """All cells of the workbooks in files (path string, content binary): long rows, read on the executors.
+
+    read gives a workbook from bytes; without it XLSX is read row by row, so a task holds a file's bytes and strings but
+    never its cells.
+    """
+    names = ["file", *[c.split()[0] for c in CELL_SCHEMA.split(", ")]]
+    blocks = iter_rows if read is None else _whole(read)
 
     def run(frames):
         for frame in frames:
             for file, content in zip(frame["path"], frame["content"], strict=True):
-                rows = [(file, *r) for s in read(bytes(content))._sheets for r in s.rows()]
-                yield pd.DataFrame(rows, columns=["file", *[c.split()[0] for c in CELL_SCHEMA.split(", ")]]).astype({"bool": object, "num": float})
+                for rows in blocks(bytes(content)):
+                    yield pd.DataFrame([(file, *r) for r in rows], columns=names).astype({"bool": object, "num": float})
+
+    ship(files.sparkSession)
+    return files.select("path", "content").mapInPandas(run, f"file string, {CELL_SCHEMA}")
+
+
+def scan(spark: SparkSession, path: str, read=None) -> DataFrame:
+    """All cells of all workbooks under path, with their file; one task reads a file or more."""
+    return cells_of(spark.read.format("binaryFile").load(path), read)
+
+
+def workbooks(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One workbook per key, made on the executors: the keys and content (binary), one sheet with a header row.
+
+    A key with more rows than a sheet holds fails the job; rows are in the order of all their columns.
+    """
+    ship(df.sparkSession)
+    names = [c for c in df.columns if c not in keys]
+
+    def make(frame):
+        frame = frame.sort_values(names)
+        if len(frame) >= p.MAX_ROWS:
+            raise ValueError(f"more than {p.MAX_ROWS - 1} rows")
+        book = Workbook()
+        sheet = book.add_sheet("Sheet1")
+        for c, n in enumerate(names):
+            sheet._cells[0, c] = Cell(n)
+            for r, v in enumerate(frame[n].tolist(), 1):
+                if v is not None and v == v:
+                    sheet._cells[r, c] = Cell(_plain(v))
+        return pd.DataFrame([(*(frame[k].iloc[0] for k in keys), to_bytes(book))], columns=[*keys, "content"])
+
+    kinds = dict(df.dtypes)
+    return df.groupBy(*keys).applyInPandas(make, ", ".join([f"`{k}` {kinds[k]}" for k in keys] + ["content binary"]))
+
 
-    ship(spark)
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, f"file string, {CELL_SCHEMA}")
+def _plain(v):
+    return v if isinstance(v, (bool, float, str)) else float(v) if isinstance(v, (int, float)) else str(v)
 
 
 def from_table(df: DataFrame, name: str = "Sheet1", limit: int = p.MAX_ROWS - 1) -> Workbook:
@@ -424,5 +496,5 @@ def from_table(df: DataFrame, name: str = "Sheet1", limit: int = p.MAX_ROWS - 1)
     for r, row in enumerate(df.toLocalIterator(), 1):
         for c, v in enumerate(row):
             if v is not None:
-                sheet._cell((r, c)).value = float(v) if isinstance(v, int) and not isinstance(v, bool) else v if isinstance(v, (bool, float, str)) else str(v)
+                sheet._cell((r, c)).value = _plain(v)
     return book
