@@ -5,8 +5,13 @@ deleted and the two neighbouring ranks are looked up anew, until no pair can mer
 are rows of the same arrays, so one numpy step serves all of them. Long words use a heap over a linked list, which
 gives the same merges without the quadratic scan. Encoded words are kept in a bounded table per Python worker.
 
+Texts are split, their distinct words found and the words' ids put back in place by Arrow, a group of about GROUP bytes
+at a time; only distinct words meet Python. A longer text comes in pieces cut at white space, which no token crosses.
+
 The vocabulary is read on the driver and broadcast; it is as large as the file, whatever the data. Texts are mapped
-where they stand: no shuffle.
+where they stand: no shuffle. Which characters are letters, numbers or white space and what their lower case is differs
+between versions of Unicode; so these tables are read off the public tokenizers library on the driver, by showing it
+every character once (without that library, the regex module's and Python's own tables serve).
 
 Rules taken from the file: NFC, lower case by character, words by the file's pattern, byte-level symbols, end-of-word
 suffix. Special tokens in a text are recognised before all that. Without a decoder in the file, decoding joins the
@@ -21,20 +26,24 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
-from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from tabulon.llm.common import documents, held, ready_workers
+from tabulon.llm.common import chunks, documents, held, per_text, ready_workers
 
 #: Bytes up to which a word is one row of the rank arrays.
 SHORT = 48
-#: Words kept per worker; when full, the table starts anew (speed only).
-KEPT = 200_000
+#: Bytes of words and ids kept per worker, about; when full, the tables start anew (speed only).
+KEPT = 96 << 20
+#: Bytes of text handled at once.
+GROUP = 4 << 20
 NONE = np.iinfo(np.int32).max
 
 
@@ -48,6 +57,44 @@ def byte_symbols() -> list[str]:
     return out
 
 
+@lru_cache(1)
+def characters() -> dict | None:
+    """Ranges of letters, numbers and white space, and lower-case forms that differ, as the tokenizers library has them."""
+    try:
+        from tokenizers import Regex, normalizers, pre_tokenizers
+    except ImportError:
+        return None
+    planes = (*range(0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0xF0000))  # the others hold no such characters
+    every = [chr(i) for i in planes]
+    text = "".join(every)
+    out: dict = {}
+    for name, pattern in (("L", r"\p{L}+"), ("N", r"\p{N}+"), ("s", r"\s+")):
+        found = pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(text)
+        out[name] = "".join(f"{regex.escape(p[0])}-{regex.escape(p[-1])}" for p, _ in found)
+    low = normalizers.Lowercase().normalize_str("\n".join(every)).split("\n")
+    out["lower"] = {ord(c): x for c, x in zip((c for c in every if c != "\n"), (x for i, x in enumerate(low) if not 10 <= i <= 11), strict=True) if c != x}
+    return out
+
+
+def composed(word: str) -> str:
+    """NFC; what needs combining classes that versions of Unicode don't agree on is left to the library."""
+    if any(unicodedata.category(c) in ("Cn", "Mn", "Mc", "Me") and not "\u0300" <= c <= "\u036f" for c in word):
+        try:
+            from tokenizers import normalizers
+        except ImportError:
+            return unicodedata.normalize("NFC", word)
+        return normalizers.NFC().normalize_str(word)
+    return unicodedata.normalize("NFC", word)
+
+
+def _with_ranges(pattern: str, tables: dict) -> str:
+    """The pattern with its classes spelled out; they may stand inside brackets only."""
+    bare = regex.sub(r"\[(?:\\.|[^\]])*\]", "", pattern)
+    if regex.search(r"\\[pPsS]", bare):
+        raise ValueError("a class outside brackets")
+    return pattern.replace(r"\p{L}", tables["L"]).replace(r"\p{N}", tables["N"]).replace(r"\s", tables["s"])
+
+
 def load(path: str | None = None) -> dict:
     """What encoding needs of a vocabulary file."""
     if path is None:
@@ -61,12 +108,15 @@ def load(path: str | None = None) -> dict:
     merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
     split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    tables = characters()
     return {
         "tokens": {**{i: t for t, i in vocab.items()}, **{i: t for t, i in special.items()}},
         "inner": [vocab[s] for s in byte_symbols()],
         "final": [vocab[s + suffix] for s in byte_symbols()],
         "pairs": np.array([(vocab[a], vocab[b], vocab[a + b]) for a, b in merges], np.int64),
-        "split": split.replace(r"\s", r"\p{White_Space}"),
+        "split": split.replace(r"\s", r"\p{White_Space}") if tables is None else _with_ranges(split, tables),
+        "ascii": _with_ranges(split, {"L": "A-Za-z", "N": "0-9", "s": "\t-\r "}),
+        "lower": tables and tables["lower"],
         "special": special,
     }
 
@@ -84,13 +134,15 @@ class Encoder:
         first[1:] = keys[order][1:] != keys[order][:-1]
         self.keys, self.rank = keys[order][first], order[first].astype(np.int32)
         self.ranks = dict(zip(zip(left.tolist(), right.tolist(), strict=True), range(len(left)), strict=True))
-        self.splitter = regex.compile(tables["split"])
+        self.splitter = (regex if tables["lower"] is None else re).compile(tables["split"])
+        self.ascii_splitter = re.compile(tables["ascii"])
         self.white = regex.compile(r"\p{White_Space}+")
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.odd = regex.compile("[\x1c-\x1f]")
+        self.lower = tables["lower"]
         self.known: dict[str, tuple[int, ...]] = {}
-        self.shown_ids: dict[str, str] = {}
-        self.shown_tokens: dict[str, str] = {}
+        self.known_bytes = self.shown_bytes = 0
+        self.shown: dict[str, tuple[str, str, int]] = {}
         self.id_text = {i: str(i) for i in self.tokens}
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -163,40 +215,45 @@ class Encoder:
 
     def learn(self, words: list[str]) -> None:
         """Encodes words that aren't known yet."""
-        new = [(w, w.encode()) for w in words if w not in self.known]
-        if len(self.known) + len(new) > KEPT:
+        if self.known_bytes > KEPT:
             self.known.clear()
-            new = [(w, w.encode()) for w in words]
+            self.known_bytes = 0
+        new = [(w, w.encode()) for w in words if w not in self.known]
+        found = []
         for low, high in ((0, 8), (8, 16), (16, SHORT)):
             if some := [(w, b) for w, b in new if low < len(b) <= high]:
-                self.known.update(zip((w for w, _ in some), self.short_words([b for _, b in some]), strict=True))
-        self.known.update((w, self.long_word(b)) for w, b in new if len(b) > SHORT)
+                found += zip((w for w, _ in some), self.short_words([b for _, b in some]), strict=True)
+        found += [(w, self.long_word(b)) for w, b in new if len(b) > SHORT]
+        self.known.update(found)
+        self.known_bytes += sum(150 + len(w) + 8 * len(ids) for w, ids in found)
 
     def pieces(self, word: str) -> list[str]:
         """What the pattern finds in a word between white space."""
         if word.isascii():
             low = word.lower()
-            return [low] if low.isalpha() else self.splitter.findall(low)
-        low = unicodedata.normalize("NFC", word)
-        low = "".join(c.lower() for c in low) if "Σ" in low else low.lower()
+            return [low] if low.isalpha() else self.ascii_splitter.findall(low)
+        low = composed(word)
+        low = low.translate(self.lower) if self.lower is not None else "".join(c.lower() for c in low) if "Σ" in low else low.lower()
         return self.splitter.findall(low)
 
     def split(self, text: str) -> list[str]:
         return self.white.split(text) if self.odd.search(text) else text.split()
 
-    def prepare(self, words: set[str]) -> None:
-        """Makes ``shown_ids`` and ``shown_tokens`` hold each white-space word's ids and tokens as text."""
-        if len(self.shown_ids) + len(words) > KEPT:
-            self.shown_ids.clear()
-            self.shown_tokens.clear()
-        missing = [w for w in words if w not in self.shown_ids]
+    def prepare(self, words: list[str]) -> list[tuple[str, str, int]]:
+        """Each white-space word's ids and tokens as text, and how many."""
+        if self.shown_bytes > KEPT:
+            self.shown.clear()
+            self.shown_bytes = 0
+        shown = self.shown
+        missing = [w for w in words if w not in shown]
         found = [self.pieces(w) for w in missing]
         self.learn(list({p for ps in found for p in ps}))
         known, id_text, tokens = self.known, self.id_text, self.tokens
         for w, ps in zip(missing, found, strict=True):
             ids = known[ps[0]] if len(ps) == 1 else [i for p in ps for i in known[p]]
-            self.shown_ids[w] = " ".join([id_text[i] for i in ids])
-            self.shown_tokens[w] = " ".join([tokens[i] for i in ids])
+            shown[w] = one = (" ".join([id_text[i] for i in ids]), " ".join([tokens[i] for i in ids]), len(ids))
+            self.shown_bytes += 350 + len(w) + len(one[0]) + len(one[1])
+        return [shown[w] for w in words]
 
     def segments(self, text: str) -> list[tuple[str, bool]]:
         """The text cut at special tokens: (segment, whether it is one)."""
@@ -207,23 +264,45 @@ class Encoder:
                 at = m.end()
         return [*out, (text[at:], False)]
 
-    def encode_texts(self, texts: list[str]) -> Iterator[tuple[str, str]]:
-        """For each text its ids in decimal, and its decoded tokens, each joined by a space."""
-        cut = [[([s], True) if mark else (self.split(s), False) for s, mark in self.segments(t)] for t in texts]
-        self.prepare({w for parts in cut for p, mark in parts if not mark for w in p} - {""})
-        ids, tokens = self.shown_ids, self.shown_tokens
-        for parts in cut:
-            if len(parts) == 1 and "" not in parts[0][0][:1]:
-                words = parts[0][0]
-                if words and not words[-1]:
-                    words.pop()
-                yield " ".join([ids[w] for w in words]), " ".join([tokens[w] for w in words])
-            else:
-                words = [(self.id_text[self.special[w]], w) if mark else (ids[w], tokens[w]) for p, mark in parts for w in p if w]
-                yield " ".join([a for a, _ in words]), " ".join([b for _, b in words])
+    def encode_odd(self, text: str) -> tuple[str, str]:
+        """Ids in decimal and decoded tokens, each joined by a space, of a text with special tokens or rare separators."""
+        parts = [([s], True) if mark else (self.split(s), False) for s, mark in self.segments(text)]
+        self.prepare(list({w for p, mark in parts if not mark for w in p}))
+        words = [(self.id_text[self.special[w]], w) if mark else self.shown[w][:2] for p, mark in parts for w in p if w]
+        return " ".join([a for a, _ in words if a]), " ".join([b for a, b in words if a])
+
+    def encode_array(self, texts: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray]:
+        """For each text (no nulls) its ids in decimal and its decoded tokens, each joined by a space, and how many."""
+        odd = pc.match_substring_regex(texts, "[\x1c-\x1f]").to_numpy(zero_copy_only=False)
+        for m in self.special:
+            odd = odd | pc.match_substring(texts, m).to_numpy(zero_copy_only=False)
+        plain = texts.filter(pa.array(~odd)) if odd.any() else texts
+        split = pc.utf8_split_whitespace(plain)
+        words = split.flatten().dictionary_encode()
+        distinct, codes = words.dictionary.to_pylist(), words.indices.to_numpy().astype(np.int64)
+        at = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())]).astype(np.int64)
+        shown = self.prepare(distinct)
+        n = np.array([s[2] for s in shown], np.int64)
+        if len(n) and not n.all():  # empty strings beside outer white space
+            stay = n[codes] > 0
+            at = np.concatenate([[0], np.cumsum(per_text(stay.astype(np.int64), at))])
+            codes = codes[stay]
+        offsets, codes_, size = pa.array(at.astype(np.int32)), pa.array(codes), per_text(n[codes], at)
+        joined = [pc.binary_join(pa.ListArray.from_arrays(offsets, pa.array([s[k] for s in shown], pa.string()).take(codes_)), " ") for k in (0, 1)]
+        if not odd.any():
+            return *joined, size
+        strange = [self.encode_odd(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+        back = np.empty(len(texts), np.int64)
+        back[np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])] = np.arange(len(texts))
+        both = [pa.concat_arrays([j, pa.array([s[i] for s in strange], pa.string())]).take(pa.array(back)) for i, j in enumerate(joined)]
+        return *both, np.concatenate([size, [len(s[0].split()) for s in strange]])[back].astype(np.int64)
+
+    def encode_texts(self, texts: list[str]) -> list[tuple[str, str]]:
+        ids, tokens, _ = self.encode_array(pa.array(texts, pa.string()))
+        return list(zip(ids.to_pylist(), tokens.to_pylist(), strict=True))
 
     def encode(self, text: str) -> list[int]:
-        return [int(x) for x in next(iter(self.encode_texts([text])))[0].split()]
+        return [int(x) for x in self.encode_texts([text])[0][0].split()]
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.tokens[i] for i in ids if i in self.tokens)
@@ -234,18 +313,14 @@ def encoder_of(tables) -> Encoder:
     return held(("bpe", tables.id), lambda: Encoder(tables.value))
 
 
-def _groups(texts: list[str | None], most: int = 1 << 20) -> Iterator[list[str]]:
-    """Texts in groups of about so many characters."""
-    group: list[str] = []
-    size = 0
-    for t in texts:
-        group.append(t or "")
-        size += len(group[-1])
-        if size >= most:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
+def encoded(enc: Encoder, column: pa.Array):
+    """(row, begins, ends, ids, tokens, n) for every text of a column, or every piece of a long one, in order; ids and
+    tokens are Arrow strings."""
+    for c in chunks(column, GROUP, cut=True):
+        texts = pa.StringArray.from_buffers(c.n, pa.py_buffer(c.at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(c.data)))
+        ids, tokens, n = enc.encode_array(texts)
+        for i in range(c.n):
+            yield c.first + i, c.begins, c.ends, ids[i], tokens[i], int(n[i])
 
 
 def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -258,13 +333,19 @@ def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         enc = encoder_of(tables)
         for b in batches:
-            n, a, d = [], [], []
-            for group in _groups(b.column(1).to_pylist()):
-                for ids, text in enc.encode_texts(group):
-                    n.append(ids.count(" ") + 1 if ids else 0)
-                    a.append(hashlib.sha256(ids.encode()).hexdigest())
-                    d.append(hashlib.sha256(text.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            total, digests = [], []
+            for _, begins, ends, ids, tokens, n in encoded(enc, b.column(1)):
+                if begins:
+                    held_n, sums = 0, (hashlib.sha256(), hashlib.sha256())
+                for s, x in zip(sums, (ids, tokens), strict=True):
+                    if held_n and n:
+                        s.update(b" ")
+                    s.update(x.as_buffer())
+                held_n += n
+                if ends:
+                    total.append(held_n)
+                    digests.append([s.hexdigest() for s in sums])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total, pa.int64()), *(pa.array([d[k] for d in digests], pa.string()) for k in (0, 1))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -279,14 +360,15 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         enc = encoder_of(tables)
         for b in batches:
-            ids, decoded = [], []
-            for group in _groups(b.column(1).to_pylist()):
-                for i, t in enc.encode_texts(group):
-                    ids.append(np.array(i.split(), np.int32))
-                    decoded.append(t)
-            offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(np.diff(offsets).astype(np.int64)), pa.array(decoded, pa.string())], ["doc_id", "ids", "n_tokens", "decoded"])
+            counts, ids, decoded = np.zeros(b.num_rows, np.int64), [], [""] * b.num_rows
+            for row, _, _, found, tokens, n in encoded(enc, b.column(1)):
+                if n:
+                    ids.append(np.fromstring(found.as_py(), np.int32, sep=" "))
+                    decoded[row] = f"{decoded[row]} {tokens.as_py()}" if counts[row] else tokens.as_py()
+                counts[row] += n
+            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(counts), pa.array(decoded, pa.string())], ["doc_id", "ids", "n_tokens", "decoded"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, n_tokens long, decoded string")
 

@@ -31,6 +31,30 @@ def test_bpe_equals_library(text):
     same_as_library(text)
 
 
+def test_bpe_every_character_equals_library():
+    """All planes: each character alone between letters, then random mixes of them."""
+    every = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    texts = ["a" + "b ".join(every[i : i + 512]) for i in range(0, len(every), 512)]
+    rng = np.random.default_rng(4)
+    low, high = np.array(every[:0x3400]), np.array(every)
+    texts += ["".join(rng.choice(low if k % 2 else high, 40)) for k in range(4000)]
+    want = [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    got = ENCODER.encode_texts(texts)
+    bad = [t for t, w, g in zip(texts, want, got) if g[0] != " ".join(map(str, w))]
+    assert not bad, [hex(ord(c)) for c in bad[0]][:50]
+
+
+def test_bpe_pieces_and_bounded_tables(spark, monkeypatch):
+    texts = ["one two  three " * 40, "x" * 300 + " y", "", None, " <|endoftext|> a" * 9, "Σ\u00a0b " * 30]
+    whole = bpe.Encoder(bpe.load())
+    monkeypatch.setattr(bpe, "GROUP", 64)
+    monkeypatch.setattr(bpe, "KEPT", 2000)
+    found = [[] for _ in texts]
+    for row, _, _, ids, _, n in bpe.encoded(ENCODER, pa.array(texts)):
+        found[row] += ids.as_py().split()
+    assert [" ".join(f) for f in found] == [a for a, _ in whole.encode_texts([t or "" for t in texts])]
+
+
 def test_bpe_cases():
     for t in ["", "don't we'll I'M", "<|endoftext|>a<|startoftext|><|end", "ab" * 400, "Σ ΑΣ İ", "\x1c a\x1d", "thethethe" * 30, "1234 ½"]:
         same_as_library(t)
@@ -306,6 +330,79 @@ def test_toxicity_gradients():
         assert abs((up - down) / 2e-4 - g[k][i]) < 1e-2 * max(1e-2, abs(g[k][i])) + 2e-4, k
 
 
+def brute_logit(model, text):
+    """The highest window logit of one text, word by word and gate by gate in plain Python."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    words = WORD.findall(low)
+    p = {k: v.astype(float).tolist() for k, v in model.net.items()}
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    mixed = lambda k: int(toxicity.mix(np.array([k % 2**64], np.uint64))[0])
+
+    def inputs(word):
+        symbols = [1, *word.encode(), 2]
+        grams = [mixed(sum(b << 8 * (size - 1 - j) for j, b in enumerate(symbols[i : i + size])) + (size << 56)) for size in toxicity.GRAM_SIZES for i in range(len(symbols) - size + 1)]
+        c = next(chunks(pa.array([word])))
+        h = int(c.hashes(*c.words()[:2], lower=True)[0])
+        odds = [float(model.gram_odds[g >> 64 - toxicity.GRAM_BITS]) for g in grams]
+        embed = [sum(p["embed"][g % (1 << toxicity.EMBED_BITS)][k] for g in grams) / max(len(grams), 1) for k in range(toxicity.EMBED)]
+        return [float(model.word_odds[h >> 64 - toxicity.WORD_BITS]), max(odds, default=0.0), sum(odds) / max(len(odds), 1), *embed]
+
+    def gru(xs, w, u, b):
+        n, h, out = toxicity.HIDDEN, [0.0] * toxicity.HIDDEN, []
+        for x in xs:
+            a = [sum(xi * w[i][j] for i, xi in enumerate(x)) + b[j] for j in range(3 * n)]
+            g = [sum(hi * u[i][j] for i, hi in enumerate(h)) for j in range(3 * n)]
+            z, r = [sig(a[j] + g[j]) for j in range(n)], [sig(a[n + j] + g[n + j]) for j in range(n)]
+            c = [math.tanh(a[2 * n + j] + r[j] * g[2 * n + j]) for j in range(n)]
+            h = [c[j] + z[j] * (h[j] - c[j]) for j in range(n)]
+            out.append(h)
+        return out
+
+    best, at = -math.inf, 0
+    while words:
+        xs = [inputs(w) for w in words[at : at + toxicity.WINDOW]]
+        states = [f + b for f, b in zip(gru(xs, p["wf"], p["uf"], p["bf"]), gru(xs[::-1], p["wb"], p["ub"], p["bb"])[::-1])]
+        raw = [sum(math.tanh(sum(s[i] * p["wa"][i][j] for i in range(len(s))) + p["ba"][j]) * p["va"][j] for j in range(toxicity.ATTEND)) for s in states]
+        e = [math.exp(x - max(raw)) for x in raw]
+        context = [sum(w * s[i] for w, s in zip(e, states)) / sum(e) for i in range(2 * toxicity.HIDDEN)]
+        best = max(best, sum(x * w for x, w in zip(context, p["wo"])) + p["bo"][0])
+        if at + toxicity.WINDOW >= len(words):
+            break
+        at += toxicity.STRIDE
+    return best
+
+
+def test_toxicity_equals_brute_force(spark):
+    docs, labels, _, _ = labelled(spark, 60)
+    model = toxicity.fit(docs, labels)
+    texts = ["ka ra VILEa lo", "mu " * 40 + "vileb x" * 3, "é " + "supercalifragilistic" * 30, *[r.text for r in docs.limit(3).collect()]]
+    got = model.chunk_logits(next(chunks(pa.array(texts))))
+    for t, x in zip(texts, got):
+        assert math.isclose(x, brute_logit(model, t), rel_tol=2e-3, abs_tol=2e-3)
+    assert model.chunk_logits(next(chunks(pa.array([" "]))))[0] == -np.inf
+
+
+def test_toxicity_trains_on_whole_words_and_all_windows(spark):
+    """A word's end beyond 64 bytes, and a window far from the text's first, both count."""
+    rng = np.random.default_rng(2)
+    fill = lambda n: " ".join(rng.choice(["ka", "lo", "mi", "nu", "ra", "so"], n))
+    texts = [f"{fill(rng.integers(5, 90))} {'z' * 80}{'vex' if i % 2 else 'mop'} {fill(rng.integers(5, 90))}" for i in range(200)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
+    docs = docs_of(spark, texts)
+    rows = toxicity.score_documents(docs, toxicity.fit(docs, labels)).filter("held_out").collect()
+    assert np.mean([r.predicted == r.doc_id % 2 for r in rows]) > 0.95
+
+
+def test_toxicity_equal_texts_with_different_labels(spark):
+    texts = ["same words here"] * 40 + ["other words there"] * 40
+    docs = docs_of(spark, texts).repartition(7)
+    labels = spark.createDataFrame([(i, 1, int(i < 40 and i % 2)) for i in range(80)], "doc_id long, quality int, toxic int")
+    a, b = (toxicity.fit(docs, labels) for _ in range(2))
+    assert all((a.net[k] == b.net[k]).all() for k in a.net) and (a.slope, a.offset) == (b.slope, b.offset)
+    rows = {r.doc_id: r.predicted for r in toxicity.score_documents(docs, a).collect()}
+    assert rows[0] == 1 and rows[50] == 0
+
+
 def test_windows_cover_all_words():
     begin, end = toxicity.windows(np.array([0, 0, 5, 40, 200]))
     covered = {t for b, e in zip(begin, end) for t in range(b, e)}
