@@ -6,13 +6,17 @@ their states, a logistic unit scores it. All overlapping windows of a whole text
 after a calibration of document scores.
 
 Everything is numpy and trained here. The fit uses a bounded sample of labelled rows (SAMPLE per class, chosen by a
-hash of the id, held-out rows left out). Its log odds are counted on the executors; per document only the most
-suspicious window and, for clean ones, one more reach the driver. Sizes of all tables are fixed, so what is broadcast doesn't grow with the data.
+hash of the id, held-out rows left out). Its log odds are counted on the executors. A label belongs to a whole text, and
+a text's score is that of its highest window; so training goes in ROUNDS: the executors score every window of every
+sampled text, at first by log odds, then by the network as it is, and hand on each text's highest window and, of clean
+texts, MORE_CLEAN others next to it in rank; the driver trains on the windows of all rounds. A word of a window travels as its numbers: three
+log odds and how often each row of the embedding occurs among its n-grams, at most 2**EMBED_BITS of them however long
+it is. Sizes of all tables are fixed, so what is broadcast doesn't grow with the data.
 Scoring reads texts where they stand, without a shuffle; word vectors are computed once per distinct word of a chunk.
 
 Defined cases: null text counts as empty; a text without words scores 0; without labels all documents score the
-same; repeated labels of an id count once (toxic if any is); null ids are members of no sample; empty tables give
-empty results; other columns are ignored.
+same; repeated labels of an id, and labels of equal texts, count once (toxic if any is); null ids are members of no
+sample; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +38,8 @@ SAMPLE = 2500
 HELD_OUT = 5
 #: Adam steps: EPOCHS over the windows, STEPS at least; the rate falls to zero.
 EPOCHS, STEPS, BATCH, RATE = 6, 800, 64, 0.01
-#: Bytes of a word that training windows carry; scoring always reads whole words.
-TRAIN_WORD = 64
+#: Times that all windows of the sample are scored to choose training windows, and how many more a clean text gives.
+ROUNDS, MORE_CLEAN = 2, 1
 
 
 class Vocabulary:
@@ -228,21 +232,25 @@ class Model:
         n = np.maximum(np.diff(v.gram_at), 1)[:, None].astype(np.float32)
         return segment(np.add, self.net["embed"][rows], v.gram_at) / n
 
-    def chunk_logits(self, c: Chunk, most: int = 2048) -> np.ndarray:
-        """Highest window logit of each text; -inf without words."""
-        v = Vocabulary(c)
-        out = np.full(c.n, -np.inf)
-        if not len(v.token):
-            return out
+    def window_logits(self, v: Vocabulary, most: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begins, ends and logits of all windows."""
+        begin, end = windows(v.at)
+        out = np.empty(len(begin), np.float32)
         fixed, rows = self.inputs(v)
         xf, xb = project(self.net, fixed, self.embedded(v, rows))
-        begin, end = windows(v.at)
         for i in range(0, len(begin), most):
             at = begin[i : i + most] + np.arange(WINDOW)[:, None]
-            m = at < end[i : i + most]
             words = v.token[np.minimum(at, len(v.token) - 1)]
-            score = logits(self.net, xf[words], xb[words], m)
-            np.maximum.at(out, np.searchsorted(v.at, begin[i : i + most], "right") - 1, score)
+            out[i : i + most] = logits(self.net, xf[words], xb[words], at < end[i : i + most])
+        return begin, end, out
+
+    def chunk_logits(self, c: Chunk) -> np.ndarray:
+        """Highest window logit of each text; -inf without words."""
+        v = Vocabulary(c)
+        out = np.full(c.n, -np.inf)
+        if len(v.token):
+            begin, _, score = self.window_logits(v)
+            np.maximum.at(out, np.searchsorted(v.at, begin, "right") - 1, score)
         return out
 
     def chance(self, logit: np.ndarray) -> np.ndarray:
@@ -258,70 +266,92 @@ def windows(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.minimum(begin + WINDOW, np.repeat(at[1:], each))
 
 
-def training_windows(rows: DataFrame, model: Model) -> DataFrame:
-    """(toxic, text) → (toxic, words): the window with the highest log odds, and of clean texts one more."""
+def training_windows(rows: DataFrame, model: Model, trained: bool) -> DataFrame:
+    """(toxic, text) → (toxic, sizes, fixed, gram_n, gram, often): of every text the highest of all its windows, by the
+    network if it is trained, else by log odds, and of clean texts MORE_CLEAN others in the order of rank.
+
+    Per word of the window: fixed inputs, how many embedding rows its n-grams have, which, and how often each.
+    """
     ready_workers(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(model)
+    names = ["toxic", "fixed", "gram_n", "gram", "often"]
 
     def run(batches):
         m = shared.value
         for b in batches:
-            toxic, kinds, found = b.column(0).to_numpy(zero_copy_only=False), [], []
+            toxic, found = b.column(0).to_numpy(zero_copy_only=False), []
             for c in chunks(b.column(1)):
                 v = Vocabulary(c)
                 if not len(v.token):
                     continue
-                fixed, _ = m.inputs(v)
-                starts, ends, _ = c.words()
-                weight = np.concatenate([(2 * fixed[:, 0] + fixed[:, 1])[v.token], np.full(WINDOW, -9)])
-                begin, end = windows(v.at)
-                at = begin + np.arange(WINDOW)[:, None]
-                top = np.where(at < end, weight[at], -9).max(0)
+                fixed, rows = m.inputs(v)
+                if trained:
+                    begin, end, rank = m.window_logits(v)
+                else:
+                    begin, end = windows(v.at)
+                    weight = np.concatenate([(2 * fixed[:, 0] + fixed[:, 1])[v.token], np.full(WINDOW, -9)])
+                    at = begin + np.arange(WINDOW)[:, None]
+                    rank = np.where(at < end, weight[at], -9).max(0)
                 text = np.searchsorted(v.at, begin, "right") - 1
-                order = np.lexsort((begin, -top, text))
-                first = order[np.concatenate([[True], text[order][1:] != text[order][:-1]])]
-                other = [int(np.flatnonzero(text == i)[len(np.flatnonzero(text == i)) // 2]) for i in text[first] if not toxic[c.first + i]]
-                data = c.data.tobytes()
-                for w in [*first.tolist(), *other]:
-                    kinds.append(int(toxic[c.first + text[w]]))
-                    found.append([data[s : min(e, s + TRAIN_WORD)].decode("utf-8", "ignore") or "?" for s, e in zip(starts[begin[w] : end[w]].tolist(), ends[begin[w] : end[w]].tolist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(found, pa.list_(pa.string()))], ["toxic", "words"])
-
-    return rows.select("toxic", "text").mapInArrow(run, "toxic int, words array<string>")
-
-
-def train(model: Model, kinds: np.ndarray, found: list[list[str]], seed: int = 3) -> None:
+                order = np.lexsort((begin, -rank, text))
+                place = np.arange(len(order)) - np.searchsorted(text[order], text[order])
+                label = toxic[c.first + text[order]]
+                for w in order[place <= np.where(label == 1, 0, MORE_CLEAN)].tolist():
+                    words = v.token[begin[w] : end[w]]
+                    size = np.diff(v.gram_at)[words]
+                    pick = np.repeat(v.gram_at[words] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                    key, often = np.unique(np.repeat(np.arange(len(words)), size) << EMBED_BITS | rows[pick], return_counts=True)
+                    n = np.bincount(key >> EMBED_BITS, minlength=len(words))
+                    found.append((int(toxic[c.first + text[w]]), fixed[words].tobytes(), n.astype(np.int32).tobytes(), (key & ((1 << EMBED_BITS) - 1)).astype(np.int32).tobytes(), often.astype(np.float32).tobytes()))
+            columns = list(zip(*found, strict=True)) if found else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(x, pa.binary()) for x in columns[1:])], names)
+
+    return rows.select("toxic", "text").mapInArrow(run, "toxic int, fixed binary, gram_n binary, gram binary, often binary")
+
+
+class Windows:
+    """Training windows: kinds, word offsets, and the words' numbers; each distinct window once, in a fixed order."""
+
+    def __init__(self, rows: set):
+        rows = sorted(rows)
+        self.kinds = np.array([r[0] for r in rows], np.int64)
+        parts = [np.frombuffer(b"".join(r[k] for r in rows), t) for k, t in ((1, np.float32), (2, np.int32), (3, np.int32), (4, np.float32))]
+        self.fixed, self.gram, self.often = parts[0].reshape(-1, 3), parts[2].astype(np.int64), parts[3]
+        self.at = np.concatenate([[0], np.cumsum([len(r[2]) // 4 for r in rows])]).astype(np.int64)
+        self.gram_at = np.concatenate([[0], np.cumsum(parts[1])]).astype(np.int64)
+        total = segment(np.add, self.often, self.gram_at)
+        self.share = (self.often / np.repeat(np.maximum(total, 1), np.diff(self.gram_at))).astype(np.float32)[:, None]
+
+    def __len__(self) -> int:
+        return len(self.kinds)
+
+
+def train(model: Model, w: Windows, seed: int = 3) -> None:
     """Adam on windows, in place."""
-    if not len(found) or kinds.min() == kinds.max():
-        model.net["bo"][:] = 3 if len(found) and kinds.max() else -3
+    if not len(w) or w.kinds.min() == w.kinds.max():
+        model.net["bo"][:] = 3 if len(w) and w.kinds.max() else -3
         return
-    chunk = next(chunks(pa.array([" ".join(w) for w in found]), 1 << 40))
-    v = Vocabulary(chunk)
-    fixed, rows = model.inputs(v)
-    begin, end = windows(v.at)  # a training window has WINDOW words at most, so each is one window
     p, rng = model.net, np.random.default_rng(seed)
     first = {k: np.zeros_like(x) for k, x in p.items()}
     second = {k: np.zeros_like(x) for k, x in p.items()}
-    step, steps = 0, max(STEPS, EPOCHS * -(-len(begin) // BATCH))
+    step, steps = 0, max(STEPS, EPOCHS * -(-len(w) // BATCH))
     while step < steps:
-        order = rng.permutation(len(begin))
+        order = rng.permutation(len(w))
         for i in range(0, len(order), BATCH):
             take = order[i : i + BATCH]
-            at = begin[take] + np.arange(WINDOW)[:, None]
-            m = at < end[take]
-            words = v.token[np.minimum(at, len(v.token) - 1)]
-            used, local = np.unique(words, return_inverse=True)
-            local = local.reshape(words.shape)
-            size = np.diff(v.gram_at)[used]
-            pick = np.repeat(v.gram_at[used] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            share = np.repeat(1 / np.maximum(size, 1), size).astype(np.float32)[:, None]
-            near = np.concatenate([[0], np.cumsum(size)])
-            embedded = segment(np.add, p["embed"][rows[pick]] * share, near)
-            g, dx = gradients(p, fixed[words], embedded[local], m, kinds[take])
+            at = w.at[take] + np.arange(WINDOW)[:, None]
+            m = at < w.at[take + 1]
+            used, local = np.unique(np.where(m, at, w.at[take]), return_inverse=True)
+            local = local.reshape(at.shape)
+            size = np.diff(w.gram_at)[used]
+            pick = np.repeat(w.gram_at[used] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            rows, share, near = w.gram[pick], w.share[pick], np.concatenate([[0], np.cumsum(size)])
+            embedded = segment(np.add, p["embed"][rows] * share, near)
+            g, dx = gradients(p, w.fixed[used][local], embedded[local], m, w.kinds[take])
             dword = np.zeros((len(used), EMBED), np.float32)
             np.add.at(dword, local, np.where(m[..., None], dx, 0))
             g["embed"] = np.zeros_like(p["embed"])
-            np.add.at(g["embed"], rows[pick], np.repeat(dword, size, 0) * share)
+            np.add.at(g["embed"], rows, np.repeat(dword, size, 0) * share)
             step += 1
             for k in p:
                 first[k] += 0.1 * (g[k] - first[k])
@@ -371,7 +401,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     chosen = [per_id.filter(F.col("toxic") == k).orderBy(*order).limit(sample) for k in (0, 1)]
     chosen = F.broadcast(checkpoint(chosen[0].union(chosen[1]).select(F.col("doc_id").alias("_id"), "toxic")))
-    rows = checkpoint(docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id")).select("toxic", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["text"]))
+    rows = checkpoint(docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id")).groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.max("toxic").alias("toxic")))
 
     got = odds_counts(rows).toArrow()
     counts = np.zeros((2, (1 << WORD_BITS) + (1 << GRAM_BITS)))
@@ -379,11 +409,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         counts[got.column("toxic").to_numpy(), got.column("bucket").to_numpy()] = got.column("n").to_numpy()
     per_class = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     model = Model(log_odds(counts, np.array([per_class.get(0, 0), per_class.get(1, 0)])))
-    found = training_windows(rows, model).toArrow().sort_by([("toxic", "ascending")])
-    words = found.column("words").to_pylist()
-    order = sorted(range(len(words)), key=lambda i: (found.column("toxic")[i].as_py(), words[i]))
-    kinds = found.column("toxic").to_numpy()[order] if len(words) else np.zeros(0, int)
-    train(model, kinds, [words[i] for i in order])
+    found: set = set()
+    for r in range(ROUNDS):
+        got = training_windows(rows, model, r > 0).toArrow()
+        found |= set(zip(*(got.column(k).to_pylist() for k in got.column_names), strict=True))
+        train(model, Windows(found))
     logit = chances(rows, model, "toxic", raw=True).toArrow()
     calibrate(model, logit.column("score").to_numpy(), logit.column("toxic").to_numpy())
     return model
