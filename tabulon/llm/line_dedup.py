@@ -1,18 +1,20 @@
 """Line dedup: later copies of repeated line runs, by a suffix array over line ids; DataFrame functions only.
 
-Every document is its sequence of lines with at least one word; a line's id is a 64-bit digest of its text. All suffixes of all
-sequences are sorted by distributed prefix doubling: after round k a suffix's rank (id of its first line, offset)
-orders it by its first 2**k lines, and equal ranks form one interval of the suffix array whose longest common prefix
-is at least 2**k lines. Only suffixes that share their rank go on to the next round, so unique text leaves at once.
-Offsets within an interval come from two-level prefix sums over distinct followers, ranged by the follower's uniform
-id, so a line that a third of all rows hold needs no task of its own.
-
-A run of lines with at least ``min_words`` words that begins earlier elsewhere is a later copy. It suffices to look,
-from every line, at the shortest run forward and the shortest run backward that reach ``min_words``: a longer
-repeated run is the union of these, and each is one interval, named by the ranks of its two overlapping halves. The
-first occurrence in (doc_id, text digest, line) order stays; lines covered by a later copy are deleted, with the
-blank lines between two deleted ones (so of a line repeated over and over in one text its first place is left). As a shortest
-run has at most min_words lines, about log2(min_words) rounds are enough for any corpus.
+Every document is its sequence of lines with at least one word; a line's id is a 128-bit digest of its text. All
+suffixes of all sequences are ordered by distributed prefix doubling: after round k a suffix's rank (64 bits of the id
+of its first line, offset) orders it by its first 2**k lines, and equal ranks form one interval of the suffix array whose
+longest common prefix is at least 2**k lines. Only suffixes that share their rank go on to the next round, so unique
+text leaves at once; rounds end when none is left, however long the longest repeated run is. Offsets within an interval
+come from two-level prefix sums over distinct followers, ranged by a hash of the follower's whole rank, so neither a
+line nor a follower that a third of all rows hold needs a task of its own.
+
+The intervals then give, for every suffix, the longest run at its beginning that also begins earlier elsewhere: from
+the top round down, a suffix's run of n lines is extended by the 2**k lines behind it; the suffixes with equal run and
+equal rank behind it form an interval of common prefix n + 2**k, and all of it but its first place take the longer run.
+The first place of every interval found stays as its witness, as it has no earlier copy itself. Of these runs the
+maximal ones (not inside the run of the line before) with at least ``min_words`` words are later copies; their lines are
+deleted, with the blank lines between two deleted ones (so of a line repeated over and over in one text its first
+place is left). The first occurrence in (doc_id, text digest, line) order stays.
 
 Only digests, ranks and word counts are shuffled. Texts move once, when they are rewritten.
 
@@ -23,7 +25,7 @@ columns pass through.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.llm.common import WORD, checkpoint, documents, free
@@ -34,104 +36,115 @@ _DOC = ["doc_id", "th"]
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, th (text digest), line (place among all lines), pos (place among worded lines), h (line id), words.
+    """doc_id, th (text digest), line (place among all lines), pos (place among worded lines), h and h2 (line id),
+    words, before (words of the lines before).
 
-    One row per place: repeated rows of one document give its places once.
+    One row per place: rows that repeat a document, if any, are first reduced to one.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.split(text, "\n", -1)
-    counted = F.transform(lines, lambda s, i: F.struct(i.alias("line"), F.xxhash64(s).alias("h"), F.regexp_count(s, F.lit(WORD)).alias("words")))
+    named = docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text"))
+    again = checkpoint(named.groupBy(*_DOC).agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("d"), F.col("th").alias("t")))
+    if again.head(1):
+        same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))
+        repeated = named.join(again, same, "left_semi").groupBy(*_DOC).agg(F.min("text").alias("text"))
+        named = named.join(again, same, "left_anti").unionByName(repeated)
+    lines = F.split("text", "\n", -1)
+    counted = F.transform(lines, lambda s, i: F.struct(i.alias("line"), F.xxhash64(s).alias("h"), F.xxhash64(F.lit(1), s).alias("h2"), F.regexp_count(s, F.lit(WORD)).alias("words")))
     worded = F.filter(counted, lambda s: s["words"] > 0)
-    rows = docs.select("doc_id", F.xxhash64(text).alias("th"), F.posexplode(worded).alias("pos", "s")).select(*_DOC, "pos", "s.line", "s.h", "s.words")
-    # sorted as the windows of runs() need it, so this takes no exchange of its own
-    rows = rows.withColumn("last", F.lag("pos").over(Window.partitionBy(*_DOC).orderBy("pos")))
-    return rows.filter("last is null or last < pos").drop("last")
+    rows = named.select(*_DOC, F.posexplode(worded).alias("pos", "s")).select(*_DOC, "pos", "s.line", "s.h", "s.h2", "s.words")
+    upto = Window.partitionBy(*_DOC).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0)).cast("long"))
 
 
-def runs(lines: DataFrame, min_words: int) -> DataFrame:
-    """lines → also the shortest run forward (ahead lines, up to line ahead_to) and backward (back, from back_from).
+def _rank_pairs(pairs: DataFrame) -> DataFrame:
+    """(h, off, nh, noff, n) distinct pairs → also less: suffixes of the interval (h, off) with a smaller follower.
 
-    Null where the document has too few words that way. Read off from prefix sums of words inside each document.
+    Followers are ordered by a hash of their rank, then the rank: one order for all, and even ranges.
     """
-    doc = Window.partitionBy(*_DOC)
-    d = lines.withColumn("to", F.sum("words").over(doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
-    d = d.withColumn("before", F.col("to") - F.col("words")).withColumn("total", F.sum("words").over(doc))
-    fwd, bwd = doc.orderBy("before").rangeBetween(0, min_words - 1), doc.orderBy("to").rangeBetween(-(min_words - 1), 0)
-    on, off = F.col("total") - F.col("before") >= min_words, F.col("to") >= min_words
-    return d.select(
-        *lines.columns,
-        F.when(on, F.max("pos").over(fwd) - F.col("pos") + 1).alias("ahead"), F.when(on, F.max("line").over(fwd)).alias("ahead_to"),
-        F.when(off, F.col("pos") - F.min("pos").over(bwd) + 1).alias("back"), F.when(off, F.min("line").over(bwd)).alias("back_from"),
-    )
-
-
-def _rank_pairs(pairs: DataFrame) -> DataFrame:
-    """(h, off, nh, noff, n) distinct pairs → also less: suffixes of the interval (h, off) with a smaller follower."""
-    pairs = pairs.withColumn("part", F.shiftright("nh", 52))
+    pairs = pairs.withColumn("x", F.xxhash64("nh", "noff")).withColumn("part", F.shiftright("x", 56))
     parts = pairs.groupBy("h", "off", "part").agg(F.sum("n").alias("pn"))
-    ahead = Window.partitionBy("h", "off").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("h", "off").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # 256 rows at most
     parts = checkpoint(parts.select("h", "off", "part", F.coalesce(F.sum("pn").over(ahead), F.lit(0)).alias("base")))
-    inside = Window.partitionBy("h", "off", "part").orderBy("nh", "noff").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("h", "off", "part").orderBy("x", "nh", "noff").rowsBetween(Window.unboundedPreceding, -1)
     pairs = pairs.withColumn("inner", F.coalesce(F.sum("n").over(inside), F.lit(0)))
     return pairs.join(parts, ["h", "off", "part"]).select("h", "off", "nh", "noff", "n", (F.col("base") + F.col("inner")).alias("less"))
 
 
-def suffix_levels(lines: DataFrame, rounds: int) -> list[DataFrame]:
+def suffix_levels(lines: DataFrame) -> list[DataFrame]:
     """Prefix doubling. Level k has doc_id, th, pos, h, off of every suffix that shares its first 2**k lines.
 
-    (h, off) is the rank: h, the first line's id, orders intervals of depth 1, off is the place of the 2**k-line
-    interval inside. A suffix absent from level k stands alone in the suffix array at that depth.
+    (h, off) is the rank: h, half of the first line's id, orders intervals of depth 1, off is the place of the
+    2**k-line interval inside. A suffix absent from level k stands alone in the suffix array at that depth.
     """
-    often = checkpoint(lines.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
-    level = checkpoint(lines.join(often, "h").select(*_DOC, "pos", "h", F.lit(0).cast("long").alias("off")))
-    levels = [level]
-    for k in range(rounds):
-        next_at = Window.partitionBy(*_DOC).orderBy("pos").rangeBetween(1 << k, 1 << k)
-        now = level.withColumns({"nh": F.first("h").over(next_at), "noff": F.first("off").over(next_at)}).filter("noff is not null")
-        now = checkpoint(now)
+    often = lines.groupBy("h", "h2").agg(F.count("*").alias("n")).filter("n > 1")
+    ahead = Window.partitionBy("h").orderBy("h2").rowsBetween(Window.unboundedPreceding, -1)  # one row, or two halves that clash
+    often = checkpoint(often.select("h", "h2", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("off")))
+    level = checkpoint(lines.join(often, ["h", "h2"]).select(*_DOC, "pos", "h", "off"))
+    levels = []
+    while level.head(1):
+        levels.append(level)
+        ahead = 1 << len(levels) - 1
+        next_at = Window.partitionBy(*_DOC).orderBy("pos").rangeBetween(ahead, ahead)
+        now = checkpoint(level.withColumns({"nh": F.first("h").over(next_at), "noff": F.first("off").over(next_at)}).filter("noff is not null"))
         pairs = checkpoint(now.groupBy("h", "off", "nh", "noff").agg(F.count("*").alias("n")))
         ranked = _rank_pairs(pairs).filter("n > 1")
         ranked = checkpoint(ranked.select("h", "off", "nh", "noff", (F.col("off") + F.col("less")).alias("to")))
         level = checkpoint(now.join(ranked, ["h", "off", "nh", "noff"]).select(*_DOC, "pos", "h", F.col("to").alias("off")))
-        levels.append(level)
-        if not level.head(1):
-            break
     return levels
 
 
+def earlier_runs(levels: list[DataFrame]) -> DataFrame | None:
+    """doc_id, th, pos, n: of each suffix the longest run of n > 0 lines that begins earlier elsewhere as well.
+
+    While it grows a run is named by two 64-bit hashes (a, b) of the ranks it is made of; ``first`` marks witnesses.
+    """
+    runs = None
+    place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "th", "pos")
+    for k in range(len(levels) - 1, -1, -1):
+        level = levels[k]
+        zero = F.lit(0).cast("long")
+        grown = level.select(*_DOC, "pos", zero.alias("n"), zero.alias("a"), zero.alias("b"), F.lit(False).alias("first"), "h", "off")
+        if runs is not None:
+            at = level.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("pos").alias("p"), "h", "off")
+            own = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))
+            begun = runs.filter("not first").select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("pos").alias("p"))
+            fresh = grown.join(begun, own & (F.col("pos") == F.col("p")), "left_anti")
+            longer = runs.join(at, own & (F.col("pos") + F.col("n") == F.col("p"))).drop("d", "t", "p")
+            grown = fresh.unionByName(longer)
+        grown = checkpoint(grown.withColumns({"a": F.xxhash64("n", "a", "b", "h", "off"), "b": F.xxhash64(F.lit(k), "b", "a", "off", "h"), "n": F.col("n") + (1 << k)}).drop("h", "off"))
+        lead = grown.groupBy("n", "a", "b").agg(F.min(place).alias("least"), F.count("*").alias("size")).filter("size > 1")
+        lead = checkpoint(lead.select("n", "a", "b", "least"))
+        taken = checkpoint(grown.filter("not first").join(lead, ["n", "a", "b"]).filter(place > F.col("least")).select(*_DOC, "pos", "n", "a", "b"))
+        witnesses = lead.select("least.doc_id", "least.th", "least.pos", "n", "a", "b", F.lit(True).alias("first"))
+        grew = taken.withColumn("first", F.lit(False))
+        if runs is None:
+            runs = grew.unionByName(witnesses)
+        else:
+            done = taken.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("pos").alias("p"))
+            stay = runs.filter("not first").join(done, own & (F.col("pos") == F.col("p")), "left_anti")
+            runs = stay.unionByName(runs.filter("first")).unionByName(grew).unionByName(witnesses)
+        runs = checkpoint(runs)
+    return runs if runs is None else runs.filter("not first").select(*_DOC, "pos", "n")
+
+
 def later_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, th, first_line, last_line: the stretches of lines that are later copies, merged where worded lines touch."""
-    rounds = min_words.bit_length() - 1
-    lines = checkpoint(runs(line_rows(docs), min_words))
-    levels = suffix_levels(lines, rounds)
-    ranks = levels[0].withColumn("k", F.lit(0))
-    for k, level in enumerate(levels[1:], 1):
-        ranks = ranks.union(level.withColumn("k", F.lit(k)))
-    ranks = checkpoint(ranks.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("pos").alias("p"), F.col("k").alias("rk"), "h", "off").distinct())
-
-    ahead = F.struct(F.col("pos").alias("start"), F.col("ahead").alias("n"), F.col("line").alias("first_line"), F.col("ahead_to").alias("last_line"))
-    back = F.struct((F.col("pos") - F.col("back") + 1).alias("start"), F.col("back").alias("n"), F.col("back_from").alias("first_line"), F.col("line").alias("last_line"))
-    asked = lines.select(*_DOC, F.explode(F.array(ahead, back)).alias("r")).select(*_DOC, "r.*").filter("n is not null")
-    depth = F.lit(0)
-    for k in range(1, rounds + 1):
-        depth = F.when(F.col("n") >= (1 << k), F.lit(k)).otherwise(depth)
-    asked = asked.withColumn("k", depth)
-
-    def at(place: Column):
-        return F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")) & (F.col("k") == F.col("rk")) & (place == F.col("p"))
-
-    # a run of n lines is the interval of the ranks of its two halves of 2**k lines, which may overlap
-    found = asked.join(ranks, at(F.col("start"))).withColumnsRenamed({"h": "h1", "off": "o1"}).drop("d", "t", "p", "rk")
-    found = found.join(ranks, at(F.expr("start + n - shiftleft(1, k)"))).withColumnsRenamed({"h": "h2", "off": "o2"}).drop("d", "t", "p", "rk")
-    found = checkpoint(found)
-    interval = ["n", "h1", "o1", "h2", "o2"]
-    place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "th", "start")
-    first = checkpoint(found.groupBy(*interval).agg(F.min(place).alias("first")))
-    later = found.join(first, interval).filter(place > F.col("first")).select(*_DOC, "start", "n", "first_line", "last_line")
-
-    doc = Window.partitionBy(*_DOC).orderBy("start", "n")
-    upto = F.max(F.col("start") + F.col("n")).over(doc.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(F.coalesce(F.col("start") > upto, F.lit(True)), F.lit(1)).otherwise(F.lit(0))
+    lines = checkpoint(line_rows(docs))
+    runs = earlier_runs(suffix_levels(lines))
+    if runs is None:
+        return lines.filter("false").select(*_DOC, F.col("line").alias("first_line"), F.col("line").alias("last_line"))
+    doc = Window.partitionBy(*_DOC).orderBy("pos")
+    runs = runs.withColumn("over", F.lag(F.col("pos") + F.col("n")).over(doc)).withColumn("last", F.lag("pos").over(doc))
+    maximal = checkpoint(runs.filter("last is null or last < pos - 1 or over < pos + n").select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "pos", "n"))
+    ends = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))
+    at = lines.select(*_DOC, F.col("pos").alias("p"), "line", "words", "before")
+    first = maximal.join(at, ends & (F.col("pos") == F.col("p"))).select("d", "t", "pos", "n", F.col("line").alias("first_line"), F.col("before").alias("start"))
+    both = first.join(at, ends & (F.col("pos") + F.col("n") - 1 == F.col("p"))).filter(F.col("before") + F.col("words") - F.col("start") >= min_words)
+    later = both.select(*_DOC, "pos", "n", "first_line", F.col("line").alias("last_line"))
+
+    doc = Window.partitionBy(*_DOC).orderBy("pos", "n")
+    upto = F.max(F.col("pos") + F.col("n")).over(doc.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(F.coalesce(F.col("pos") > upto, F.lit(True)), F.lit(1)).otherwise(F.lit(0))
     merged = later.withColumn("new", new).withColumn("run", F.sum("new").over(doc))
     return merged.groupBy(*_DOC, "run").agg(F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line")).drop("run")
 

@@ -160,7 +160,7 @@ def test_line_dedup_odd_rows(spark):
 
 def test_suffix_levels_are_intervals(spark):
     docs = docs_of(spark, ["a\nb\nc\nd", "x\na\nb\nc", "b\nc\na"])
-    levels = line_dedup.suffix_levels(line_dedup.line_rows(docs), 2)
+    levels = line_dedup.suffix_levels(line_dedup.line_rows(docs))
     for k, level in enumerate(levels[:2]):
         seqs = {0: "abcd", 1: "xabc", 2: "bca"}
         rows = {(r.doc_id, r.pos): (r.h, r.off) for r in level.collect()}
@@ -174,6 +174,29 @@ def test_suffix_levels_are_intervals(spark):
         assert sorted(map(sorted, groups.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
 
 
+def test_earlier_runs_are_the_longest(spark):
+    """The longest run at each line that also begins earlier, against all pairs of places."""
+    rng = np.random.default_rng(7)
+    seqs = ["".join(rng.choice(list("ab" if k % 3 else "abcd"), rng.integers(0, 40))) for k in range(12)]
+    seqs += [seqs[1] + seqs[4], "a" * 21, "xyz" * 9]
+    runs = line_dedup.earlier_runs(line_dedup.suffix_levels(line_dedup.line_rows(docs_of(spark, ["\n".join(s) for s in seqs]))))
+    got = {(r.doc_id, r.pos): r.n for r in runs.collect()}
+    places = [(d, p) for d, s in enumerate(seqs) for p in range(len(s))]
+    for i, (d, p) in enumerate(places):
+        want = max((next((n for n in range(len(seqs[d]) - p + 1) if seqs[e][q : q + n + 1] != seqs[d][p : p + n + 1] or n == min(len(seqs[d]) - p, len(seqs[e]) - q)), 0) for e, q in places[:i]), default=0)
+        assert got.get((d, p), 0) == want, (d, p)
+
+
+def test_line_ids_that_share_one_half(spark):
+    """Lines whose ids clash in 64 of 128 bits stay apart."""
+    lines = spark.createDataFrame([(d, 0, p, p, 5, h2, 9, 0) for d, seq in enumerate(([1, 2, 1], [1, 2], [2, 1], [3])) for p, h2 in enumerate(seq)], "doc_id long, th long, pos int, line int, h long, h2 long, words int, before long")
+    levels = line_dedup.suffix_levels(lines)
+    ranks = {}
+    for r in levels[0].collect():
+        ranks.setdefault(r.off, set()).add((r.doc_id, r.pos))
+    assert sorted(map(sorted, ranks.values())) == [[(0, 0), (0, 2), (1, 0), (2, 1)], [(0, 1), (1, 1), (2, 0)]]
+
+
 def test_forest_of_one_dense_group():
     """Thousands of fingerprints within 3 bits of a centre: one tree, in bounded steps."""
     rng = np.random.default_rng(11)
