@@ -128,6 +128,25 @@ class Chunk:
         return mix((s[ends] - s[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def exact_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """A number for each byte range, equal for equal bytes only: grouped by their hashes h, then compared byte by byte
+    with the first of the group; if two unlike ranges share a hash, all are told apart by their bytes."""
+    if not len(h):
+        return np.zeros(0, np.int64)
+    _, first, ids = np.unique(h, return_index=True, return_inverse=True)
+    again = np.flatnonzero(first[ids] != np.arange(len(h)))
+    one, two, n = starts[again], starts[first[ids[again]]], (ends - starts)[again]
+    same = (n == (ends - starts)[first[ids[again]]]).all()
+    if same and len(n):
+        begin = np.repeat(np.cumsum(n) - n, n)
+        inside = np.arange(len(begin)) - begin
+        same = (data[np.repeat(one, n) + inside] == data[np.repeat(two, n) + inside]).all()
+    if same:
+        return ids
+    known: dict[bytes, int] = {}
+    return np.array([known.setdefault(data[s:e].tobytes(), len(known)) for s, e in zip(starts, ends, strict=True)], np.int64)
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All bytes and the offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tabulon.llm import bpe, maxent, mixing, ordinal, quality_rules, toxicity
+from tabulon.llm import bpe, common, maxent, mixing, ordinal, quality_rules, toxicity
 from tabulon.llm.common import chunks
 from tests.llm.helpers import WORD, docs_of, empty_docs, odd_docs
 
@@ -97,6 +97,14 @@ def test_rules_equal_brute_force(spark):
     assert quality_rules.quality_records(empty_docs(spark)).count() == 0
 
 
+def test_exact_ids_tell_clashing_hashes_apart():
+    c = next(chunks(pa.array(["ab cd ab ce abc"])))
+    starts, ends, _ = c.words()
+    for h in (c.hashes(starts, ends), np.zeros(5, np.uint64), np.array([1, 1, 1, 1, 2], np.uint64)):
+        ids = common.exact_ids(c.data, starts, ends, h)
+        assert ids[0] == ids[2] and len(set(ids.tolist())) == 4
+
+
 def test_kneser_ney_is_a_distribution(spark):
     model = quality_rules.fit(docs_of(spark, ["the cat sat on the mat", "The dog! 12", None, "é ü"]))
     for context in (0, 20 << 12 | 8 << 6 | 5, 5 << 12 | 3 << 6 | 1):
