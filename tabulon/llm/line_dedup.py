@@ -16,7 +16,9 @@ maximal ones (not inside the run of the line before) with at least ``min_words``
 deleted, with the blank lines between two deleted ones (so of a line repeated over and over in one text its first
 place is left). The first occurrence in (doc_id, text digest, line) order stays.
 
-Only digests, ranks and word counts are shuffled. Texts move once, when they are rewritten.
+Only digests, ranks and word counts are shuffled. Texts move once, when they are rewritten. What the rounds hand on is
+written as tables in the shared folder: unlike a checkpoint, a table read again carries no constraints of the plans
+before it, which would grow from round to round on the driver.
 
 Defined cases: null text counts as empty; lines without words are no part of a run and stay; rows with equal
 (doc_id, text) are one document and get one outcome; null ids order last; empty tables give empty results; other
@@ -28,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import WORD, checkpoint, documents, free
+from tabulon.llm.common import WORD, checkpoint, documents, free, stored
 
 #: Words that a repeated run must have.
 MIN_WORDS = 10
@@ -64,7 +66,7 @@ def _rank_pairs(pairs: DataFrame) -> DataFrame:
     pairs = pairs.withColumn("x", F.xxhash64("nh", "noff")).withColumn("part", F.shiftright("x", 56))
     parts = pairs.groupBy("h", "off", "part").agg(F.sum("n").alias("pn"))
     ahead = Window.partitionBy("h", "off").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # 256 rows at most
-    parts = checkpoint(parts.select("h", "off", "part", F.coalesce(F.sum("pn").over(ahead), F.lit(0)).alias("base")))
+    parts = stored(parts.select("h", "off", "part", F.coalesce(F.sum("pn").over(ahead), F.lit(0)).alias("base")))
     inside = Window.partitionBy("h", "off", "part").orderBy("x", "nh", "noff").rowsBetween(Window.unboundedPreceding, -1)
     pairs = pairs.withColumn("inner", F.coalesce(F.sum("n").over(inside), F.lit(0)))
     return pairs.join(parts, ["h", "off", "part"]).select("h", "off", "nh", "noff", "n", (F.col("base") + F.col("inner")).alias("less"))
@@ -78,18 +80,18 @@ def suffix_levels(lines: DataFrame) -> list[DataFrame]:
     """
     often = lines.groupBy("h", "h2").agg(F.count("*").alias("n")).filter("n > 1")
     ahead = Window.partitionBy("h").orderBy("h2").rowsBetween(Window.unboundedPreceding, -1)  # one row, or two halves that clash
-    often = checkpoint(often.select("h", "h2", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("off")))
-    level = checkpoint(lines.join(often, ["h", "h2"]).select(*_DOC, "pos", "h", "off"))
+    often = stored(often.select("h", "h2", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("off")))
+    level = stored(lines.join(often, ["h", "h2"]).select(*_DOC, "pos", "h", "off"))
     levels = []
     while level.head(1):
         levels.append(level)
         ahead = 1 << len(levels) - 1
         next_at = Window.partitionBy(*_DOC).orderBy("pos").rangeBetween(ahead, ahead)
-        now = checkpoint(level.withColumns({"nh": F.first("h").over(next_at), "noff": F.first("off").over(next_at)}).filter("noff is not null"))
-        pairs = checkpoint(now.groupBy("h", "off", "nh", "noff").agg(F.count("*").alias("n")))
+        now = stored(level.withColumns({"nh": F.first("h").over(next_at), "noff": F.first("off").over(next_at)}).filter("noff is not null"))
+        pairs = stored(now.groupBy("h", "off", "nh", "noff").agg(F.count("*").alias("n")))
         ranked = _rank_pairs(pairs).filter("n > 1")
-        ranked = checkpoint(ranked.select("h", "off", "nh", "noff", (F.col("off") + F.col("less")).alias("to")))
-        level = checkpoint(now.join(ranked, ["h", "off", "nh", "noff"]).select(*_DOC, "pos", "h", F.col("to").alias("off")))
+        ranked = stored(ranked.select("h", "off", "nh", "noff", (F.col("off") + F.col("less")).alias("to")))
+        level = stored(now.join(ranked, ["h", "off", "nh", "noff"]).select(*_DOC, "pos", "h", F.col("to").alias("off")))
     return levels
 
 
@@ -111,10 +113,10 @@ def earlier_runs(levels: list[DataFrame]) -> DataFrame | None:
             fresh = grown.join(begun, own & (F.col("pos") == F.col("p")), "left_anti")
             longer = runs.join(at, own & (F.col("pos") + F.col("n") == F.col("p"))).drop("d", "t", "p")
             grown = fresh.unionByName(longer)
-        grown = checkpoint(grown.withColumns({"a": F.xxhash64("n", "a", "b", "h", "off"), "b": F.xxhash64(F.lit(k), "b", "a", "off", "h"), "n": F.col("n") + (1 << k)}).drop("h", "off"))
+        grown = stored(grown.withColumns({"a": F.xxhash64("n", "a", "b", "h", "off"), "b": F.xxhash64(F.lit(k), "b", "a", "off", "h"), "n": F.col("n") + (1 << k)}).drop("h", "off"))
         lead = grown.groupBy("n", "a", "b").agg(F.min(place).alias("least"), F.count("*").alias("size")).filter("size > 1")
-        lead = checkpoint(lead.select("n", "a", "b", "least"))
-        taken = checkpoint(grown.filter("not first").join(lead, ["n", "a", "b"]).filter(place > F.col("least")).select(*_DOC, "pos", "n", "a", "b"))
+        lead = stored(lead.select("n", "a", "b", "least"))
+        taken = stored(grown.filter("not first").join(lead, ["n", "a", "b"]).filter(place > F.col("least")).select(*_DOC, "pos", "n", "a", "b"))
         witnesses = lead.select("least.doc_id", "least.th", "least.pos", "n", "a", "b", F.lit(True).alias("first"))
         grew = taken.withColumn("first", F.lit(False))
         if runs is None:
@@ -123,19 +125,19 @@ def earlier_runs(levels: list[DataFrame]) -> DataFrame | None:
             done = taken.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("pos").alias("p"))
             stay = runs.filter("not first").join(done, own & (F.col("pos") == F.col("p")), "left_anti")
             runs = stay.unionByName(runs.filter("first")).unionByName(grew).unionByName(witnesses)
-        runs = checkpoint(runs)
+        runs = stored(runs)
     return runs if runs is None else runs.filter("not first").select(*_DOC, "pos", "n")
 
 
 def later_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, th, first_line, last_line: the stretches of lines that are later copies, merged where worded lines touch."""
-    lines = checkpoint(line_rows(docs))
+    lines = stored(line_rows(docs))
     runs = earlier_runs(suffix_levels(lines))
     if runs is None:
         return lines.filter("false").select(*_DOC, F.col("line").alias("first_line"), F.col("line").alias("last_line"))
     doc = Window.partitionBy(*_DOC).orderBy("pos")
     runs = runs.withColumn("over", F.lag(F.col("pos") + F.col("n")).over(doc)).withColumn("last", F.lag("pos").over(doc))
-    maximal = checkpoint(runs.filter("last is null or last < pos - 1 or over < pos + n").select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "pos", "n"))
+    maximal = stored(runs.filter("last is null or last < pos - 1 or over < pos + n").select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "pos", "n"))
     ends = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))
     at = lines.select(*_DOC, F.col("pos").alias("p"), "line", "words", "before")
     first = maximal.join(at, ends & (F.col("pos") == F.col("p"))).select("d", "t", "pos", "n", F.col("line").alias("first_line"), F.col("before").alias("start"))

@@ -96,7 +96,7 @@ def test_near_groups(spark):
     assert len(odd) == 12
     kept = simhash.keep_first(odd_docs(spark))
     assert kept.columns == odd_docs(spark).columns
-    assert kept.count() == len({r.component_id for r in odd})
+    assert kept.count() == len({r.label for r in odd})
     assert simhash.near_groups(empty_docs(spark)).count() == 0
 
 
