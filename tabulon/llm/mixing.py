@@ -10,8 +10,8 @@ Targets: sources by code point (null last) weigh 1, 2, 3, repeating, and share 1
 ``max_epochs`` times its source's size and the excess is shared again by weight until none is above.
 
 Defined cases: null text has size 0; a document without words has no part in the mix itself; null source is a source of its own; a repeated (doc_id, size) row is the same
-document several times, and if the cut falls among such equals each gets an equal share, rounded down; an empty
-table gives an empty mix; other columns are passed through.
+document several times, and if the cut falls among such equals they are taken one after another, in the order in which
+they are stored, until the budget is met to the word; an empty table gives an empty mix; other columns are passed through.
 """
 
 from __future__ import annotations
@@ -55,8 +55,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs:
 def cuts(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """From (doc_id, source, size, key) to one row per source: source_size, target, whole epochs, and the cut of the last.
 
-    Documents before (cut_key, cut_id, cut_size) in the source's order are taken once more, those at it ``cut_taken``
-    words, those after it not; a null cut_key means none.
+    Documents before (cut_key, cut_id, cut_size) in the source's order are taken once more, the ``cut_n`` equal ones at
+    it ``cut_got`` words together, those after it not; a null cut_key means none.
     """
     ranged = sizes.withColumn("range", F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), 32 - RANGES.bit_length() + 1))
     sums = checkpoint(ranged.groupBy("source", "range").agg(F.sum("size").alias("words")))
@@ -77,16 +77,36 @@ def cuts(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int
     ahead = Window.partitionBy("s").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     equal = equal.withColumn("got", F.col("left") - F.col("before") - F.coalesce(F.sum(F.col("size") * F.col("n")).over(ahead), F.lit(0)))
     equal = equal.filter((F.col("got") > 0) & (F.col("got") <= F.col("size") * F.col("n")))
-    cut = equal.select(F.col("s").alias("c"), F.col("key").alias("cut_key"), F.col("doc_id").alias("cut_id"), F.col("size").alias("cut_size"), F.floor(F.col("got") / F.col("n")).alias("cut_taken"))
+    cut = equal.select(F.col("s").alias("c"), F.col("key").alias("cut_key"), F.col("doc_id").alias("cut_id"), F.col("size").alias("cut_size"), F.col("got").alias("cut_got"), F.col("n").alias("cut_n"))
     return checkpoint(t.join(cut, F.col("s").eqNullSafe(F.col("c")), "left").drop("c", "budget", "left"))
 
 
 def _decide(rows: DataFrame, cut: DataFrame) -> DataFrame:
     """Rows with doc_id, source, size and key → also source_size, target, epochs, part (words of the last epoch)."""
-    at = small(cut)
     me, there = [F.struct(*cols) for cols in (("key", "doc_id", "size"), (F.col("cut_key").alias("key"), F.col("cut_id").alias("doc_id"), F.col("cut_size").alias("size")))]
-    part = F.when(F.col("cut_key").isNull(), F.lit(0)).when(me < there, F.col("size")).when(me <= there, F.col("cut_taken")).otherwise(F.lit(0))
-    return rows.join(at, F.col("source").eqNullSafe(F.col("s"))).withColumn("part", part.cast("long"))
+    at_cut = F.col("cut_key").isNotNull() & (me <= there) & ~(me < there)
+    d = rows.join(small(cut), F.col("source").eqNullSafe(F.col("s"))).withColumn("at_cut", at_cut)
+    away = F.when(F.col("cut_key").isNotNull() & (me < there), F.col("size")).otherwise(F.lit(0))
+    if cut.filter("cut_n > 1").isEmpty():
+        return d.withColumn("part", F.when(F.col("at_cut"), F.col("cut_got")).otherwise(away).cast("long"))
+    return d.filter(~F.col("at_cut")).withColumn("part", away.cast("long")).unionByName(_in_turn(d.filter("at_cut")))
+
+
+def _in_turn(equal: DataFrame) -> DataFrame:
+    """The equal rows at the sources' cuts → also part: each source's first rows are taken whole, one as far as cut_got goes.
+
+    Rows are numbered by their place in a checkpoint: within each of its partitions, after prefix sums over these.
+    """
+    d = checkpoint(equal).withColumn("place", F.monotonically_increasing_id())
+    d = d.withColumn("block", F.shiftright("place", 33))
+    ahead = Window.partitionBy("b_s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = d.groupBy(F.col("s").alias("b_s"), F.col("block").alias("b")).agg(F.count("*").alias("n"))
+    blocks = checkpoint(blocks.select("b_s", "b", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead")))
+    d = d.withColumn("turn", F.row_number().over(Window.partitionBy("s", "block").orderBy("place")) - 1)
+    d = d.join(small(blocks), F.col("s").eqNullSafe(F.col("b_s")) & (F.col("block") == F.col("b")))
+    part = F.col("cut_got") - (F.col("turn") + F.col("ahead")) * F.col("size")
+    d = d.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), part)).cast("long"))
+    return d.drop("place", "block", "b_s", "b", "ahead", "turn")
 
 
 def mix_records(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = MAX_EPOCHS) -> DataFrame:

@@ -8,6 +8,7 @@ import public_tokenizers
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tabulon.llm import bpe, common, maxent, mixing, ordinal, quality_rules, toxicity
@@ -278,6 +279,24 @@ def test_mixing_fills_targets(spark):
     assert mixing.mix_records(empty_docs(spark)).count() == 0 and mixing.mix_documents(empty_docs(spark)).count() == 0
 
 
+def test_mixing_meets_the_budget_inside_equal_rows(spark):
+    """Null ids of one size: the cut falls among equal rows, and not a word of the budget is left."""
+    named = docs_of(spark, ["b " * 9] * 13, source="b")
+    nameless = docs_of(spark, ["a " * 7, "x " * 7] * 15, source="a").withColumn("doc_id", F.lit(None).cast("long"))
+    docs = named.union(nameless).union(docs_of(spark, ["c " * 5] * 200, source="c", start=500)).repartition(7)
+    rows = mixing.mix_records(docs).collect()
+    for source_size, n in ((117, 13), (210, 30), (1000, 200)):
+        own = [r for r in rows if r.source_size == source_size]
+        assert len(own) == n and sum(r.taken for r in own) == round(own[0].target)
+        assert sum(r.taken % r.size > 0 for r in own) <= 1
+    want = Counter((r.doc_id, r.taken) for r in rows)
+    assert Counter((r.doc_id, r.taken) for r in mixing.mix_records(docs).collect()) == want
+    words = Counter()
+    for r in mixing.mix_documents(docs).collect():
+        words[r.source] += len(WORD.findall(r.text))
+    assert words == {"a": sum(r.taken for r in rows if r.doc_id is None), "b": 351, "c": sum(r.taken for r in rows if r.source_size == 1000)}
+
+
 def labelled(spark, n=240):
     rng = np.random.default_rng(4)
     words = [f"{a}{b}" for a in "ka lo mi nu".split() for b in "ra so ti pu de fa".split()]
