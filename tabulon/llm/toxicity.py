@@ -2,8 +2,8 @@
 
 A window's words are vectors: the word's log odds of toxicity, the largest and the mean log odds of its character
 n-grams, and a learned mean embedding of the n-grams. Two GRUs read the window in both directions, attention pools
-their states, a logistic unit scores it. All overlapping windows of a whole text are scored and the highest counts,
-after a calibration of document scores.
+their states, a logistic unit scores it. Windows of WINDOW words, from every STRIDE-th word, cover the whole text; all
+are scored and the highest counts, after a calibration of document scores.
 
 Everything is numpy and trained here. The fit uses a bounded sample of labelled rows (SAMPLE per class, chosen by a
 hash of the id, held-out rows left out). Its log odds are counted on the executors. A label belongs to a whole text, and
