@@ -44,6 +44,8 @@ CLASS_FEATURES, CLASS_BITS, SLOT_FEATURES, SLOT_BITS = 4, 13, 2, 14
 BLOCK = 256
 ROUNDS = 2
 STEP, RATE = 4096, 0.15
+#: Scores between plus and minus this have exponentials that 32-bit floats hold.
+EXP_RANGE = 60
 #: Documents of a group, as a power of two.
 GROUP_ROWS = 14
 #: Bytes of text handled at once.
@@ -136,12 +138,29 @@ def softmax(w: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
     for i in range(1, rows.shape[1]):
         s += w[rows[:, i]]
     s += bias
+    ones = np.ones(s.shape[1], np.float32)
+    if s.size and s.max() < EXP_RANGE:  # the rows' maxima matter only where exp would overflow or a row vanish
+        e = np.exp(s)
+        total = e @ ones
+        if total.min() > np.exp(-EXP_RANGE):
+            e *= (1 / total)[:, None]
+            return e
     s -= s.max(1, keepdims=True)
     np.exp(s, out=s)
-    s /= s.sum(1, keepdims=True)
+    s *= (1 / (s @ ones))[:, None]
     return s
 
 
+def segment_rows(d: np.ndarray, order: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Sums of d's rows, taken in this order, between consecutive edges; rows alone between theirs are copied."""
+    size = np.diff(edge, append=len(order))
+    out = d[order[edge]]
+    several = np.flatnonzero(size > 1)
+    if len(several):
+        out[several] = np.add.reduceat(d[order[np.repeat(size > 1, size)]], np.cumsum(size[several]) - size[several], axis=0)
+    return out
+
+
 class Weights:
     """Weights and biases of both softmaxes."""
 
@@ -212,10 +231,11 @@ class Learner:
             order = np.argsort(key, kind="stable")
             key = key[order]
             edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            sums = np.add.reduceat(d[order], edge, axis=0)
+            sums = segment_rows(d, order, edge)
             at = key[edge].astype(np.int64) + (f << bits)
-            seen[at] += np.square(sums).mean(1)
-            w[at] -= np.float32(RATE) * sums / np.sqrt(seen[at])[:, None]
+            seen[at] += np.einsum("ij,ij->i", sums, sums) / np.float32(SLOTS)
+            sums *= (np.float32(RATE) / np.sqrt(seen[at]))[:, None]
+            w[at] -= sums
             touched[at] += np.diff(np.append(edge, len(key))).astype(np.float32)
 
     def changes(self):

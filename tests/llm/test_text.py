@@ -252,6 +252,21 @@ def test_maxent_is_a_distribution_over_words(spark):
     assert np.allclose(of_known + of_unknown, 1, atol=1e-5)
 
 
+def test_maxent_fast_steps_equal_plain_ones():
+    rng = np.random.default_rng(4)
+    w, rows = rng.normal(size=(64, 32)).astype(np.float32), rng.integers(0, 64, (500, 4))
+    for bias in (0, 200, -200, np.where(np.arange(32) < 5, 0, -1e9), np.where(rng.random((500, 1)) < 0.5, 150, -150)):
+        s = w[rows].sum(1, dtype=np.float64) + bias
+        e = np.exp(s - s.max(1, keepdims=True))
+        assert np.allclose(maxent.softmax(w, np.float32(bias), rows), e / e.sum(1, keepdims=True), rtol=1e-3, atol=1e-7)
+    d = rng.normal(size=(500, 32)).astype(np.float32)
+    for key in (rng.integers(0, 400, 500), np.arange(500), np.zeros(500, int)):
+        order = np.argsort(key, kind="stable")
+        kinds, edge = np.unique(key[order], return_index=True)
+        want = np.stack([d[key == k].sum(0) for k in kinds])
+        assert np.allclose(maxent.segment_rows(d, order, edge), want, atol=1e-4)
+
+
 def test_maxent_odd_rows(spark):
     got = maxent.score_corpus(odd_docs(spark)).collect()
     assert len(got) == 12 and all(math.isfinite(r.score) and r.score < 0 for r in got)
