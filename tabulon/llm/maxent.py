@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import Chunk, checkpoint, chunks, crc_mod, documents, mix, ready_workers, segment_sum, stored
+from tabulon.llm.common import LOWER, Chunk, checkpoint, chunks, crc_mod, documents, mix, ready_workers, segment_sum, stored
 
 CLASSES, SLOTS, TAILS = 32, 32, 256
 FREQUENT = CLASSES * SLOTS - TAILS - 1
@@ -60,13 +60,13 @@ _CROSS = np.uint64(0xC2B2AE3D27D4EB4F)
 def tokens(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes, with an end token after each text that ends here, and their offsets by text.
 
-    The low bits of a word's hash tell its ending: a digest of its last two bytes.
+    The low bits of a word's hash tell its ending: a digest of its last two bytes, in lower case like the rest.
     """
     starts, ends, at = c.words()
     h = c.hashes(starts, ends, lower=True)
     if len(h):
-        last = c.data[ends - 1].astype(np.uint64)
-        second = np.where(ends - starts > 1, c.data[np.maximum(ends - 2, 0)], 0).astype(np.uint64)
+        last = LOWER[c.data[ends - 1]].astype(np.uint64)
+        second = np.where(ends - starts > 1, LOWER[c.data[np.maximum(ends - 2, 0)]], 0).astype(np.uint64)
         h = (np.maximum(h, np.uint64(1 << 12)) & ~_TAIL) | (last * np.uint64(31) + second * np.uint64(7)) & _TAIL
     n = np.diff(at) + int(c.ends)
     out_at = np.concatenate([[0], np.cumsum(n)])

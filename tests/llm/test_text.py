@@ -201,6 +201,18 @@ def test_maxent_equals_brute_force(spark, monkeypatch):
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, score, rel_tol=1e-4)
 
 
+def test_maxent_upper_case_endings_are_the_same_words(spark):
+    texts = ["CAT cat caT Cat", "A a I i", "THE the tHE", "a cat", "É é ÉA éa"] * 3
+    assert all(len(set(maxent.tokens(next(chunks(pa.array([w, w.lower(), w.swapcase()]))))[0].tolist())) == 2 for w in ("CAT", "A", "xY", "x-Q"))
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    c = Counter(t for t, out in zip(texts, held) if not out for t in tokens_of(t))
+    n, v = sum(c.values()), len(c)
+    for r in maxent.score_corpus(docs_of(spark, texts)).collect():
+        words = tokens_of(texts[r.doc_id])
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(words), sum(w in c for w in words), n)
+        assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in words), rel_tol=1e-9)
+
+
 def test_maxent_learns_what_follows(spark):
     rng = np.random.default_rng(3)
     def text():
