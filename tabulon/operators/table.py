@@ -26,6 +26,8 @@ from tabulon.session import checkpoint
 _fresh = itertools.count()
 #: Literal positions up to which LARGE, SMALL and INDEX are a top-k; beyond, running totals by ranges find them.
 TOP = 10_000
+#: Cells and criteria of one key whose running totals one task may add up; larger keys are dealt by ranges.
+KEY_ROWS = 100_000
 #: Distinct patterns with wildcards that a column of criteria may hold.
 PATTERNS = 10_000
 
@@ -171,6 +173,7 @@ class _RowPlan:
 
     def __init__(self, table: Table):
         self.table, self.df, self.extra = table, table.df, []
+        self.asked: dict[tuple, tuple] = {}
 
     def planned(self, node: p.Call, env: Env) -> C.Val:
         if node.name == "VLOOKUP":
@@ -211,12 +214,12 @@ class _RowPlan:
             value = args.pop(0)
         elif name in ("SUMIF", "AVERAGEIF"):
             value = args.pop() if len(args) == 3 else args[0]
-        fixed, keys, wide = [], [], []
+        fixed, keys, wide, before = [], [], [], self.df
         for r, c in zip(args[::2], args[1::2], strict=True):
             mine = any(isinstance(x, p.Column) and x.this_row for x in p.walk(c))
             (fixed if not mine else wide if compile_node(c, env).kind == "text" else keys).append((r, c))
         if wide:
-            return self.by_criterion(name, value, fixed, keys, wide, env)
+            return self.by_criterion(name, value, fixed, keys, wide, env, before)
         inner = self.table.env(True, None)
         aliases = [fresh("k") for _ in keys]
 
@@ -246,12 +249,13 @@ class _RowPlan:
             return C.num(F.col(held), C.errs(err, F.col(f"{held}_err")))
         return C.num(F.coalesce(F.col(held), F.lit(0.0)), F.col(f"{held}_err") if f"{held}_err" in totals.columns else None)
 
-    def by_criterion(self, name: str, value, fixed: list, keys: list, wide: list, env: Env) -> C.Val:
+    def by_criterion(self, name: str, value, fixed: list, keys: list, wide: list, env: Env, before: DataFrame) -> C.Val:
         """Conditional aggregates whose criterion is a text of this row: a comparison, a number or a pattern.
 
         Every distinct criterion is answered once: equal numbers and texts by a join with the values' totals,
-        comparisons from running totals by ranges, patterns with wildcards (PATTERNS of them at most) against the
-        distinct values; the answers are joined back to the rows.
+        comparisons from running totals (by key, or by ranges where a key has more than KEY_ROWS), patterns with
+        wildcards (PATTERNS of them at most) against the distinct values; the answers are joined back to the rows. They
+        are unique by criterion and key, so the optimiser drops the joins where nothing takes their columns.
         """
         if len(wide) > 1:
             raise FormulaError("one criterion that is a text of this row at a time")
@@ -279,23 +283,41 @@ class _RowPlan:
         again = {k: F.sum(k) for k in totals}
         by = lambda df, *more: df.groupBy(*aliases, *more).agg(*[x.alias(k) for k, x in totals.items()])
 
-        raw, mine = fresh("c"), [fresh("m") for _ in keys]
-        self.df = self.df.withColumn(raw, F.trim(C.as_text(replace(c, may_be_empty=True))))
-        for m, (_, k) in zip(mine, keys):
-            self.df = self.df.withColumn(m, norm(compile_node(k, env)))
-        asked = self.df.select(F.col(raw).alias("raw"), F.lit(1).alias(one), *[F.col(m).alias(a) for m, a in zip(mine, aliases[1:])]).distinct()
-        op, rest = F.regexp_extract("raw", "^(<>|<=|>=|<|>|=)", 1), F.regexp_replace("raw", "^(<>|<=|>=|<|>|=)", "")
-        is_number = rest.rlike(r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$")
-        kind = F.when(F.col("raw") == "", "empty").when(is_number, F.when(op == "", "=").otherwise(op)).when(F.col("raw").rlike("[*?]"), "glob").otherwise("text")
-        asked = checkpoint(asked.withColumns({"kind": kind, "num": F.trim(rest).try_cast("double"), "low": F.lower(F.trim("raw"))}))
-
-        kinds = {k for (k,) in asked.select("kind").distinct().collect()}  # nine at most
+        shown_raw, own_keys = F.trim(C.as_text(replace(c, may_be_empty=True))), [norm(compile_node(k, env)) for _, k in keys]
+        same_asked = (criterion, range_, *keys)
+        if same_asked not in self.asked:
+            raw, mine = fresh("c"), [fresh("m") for _ in keys]
+            source = self.table.df if self.df is before else self.df  # without joins, unless a criterion needs them
+            asked = source.select(shown_raw.alias("raw"), F.lit(1).alias(one), *[k.alias(a) for k, a in zip(own_keys, aliases[1:])]).distinct()
+            op, rest = F.regexp_extract("raw", "^(<>|<=|>=|<|>|=)", 1), F.regexp_replace("raw", "^(<>|<=|>=|<|>|=)", "")
+            is_number = rest.rlike(r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$")
+            kind = F.when(F.col("raw") == "", "empty").when(is_number, F.when(op == "", "=").otherwise(op)).when(F.col("raw").rlike("[*?]"), "glob").otherwise("text")
+            asked = checkpoint(asked.withColumns({"kind": kind, "num": F.trim(rest).try_cast("double"), "low": F.lower(F.trim("raw"))}))
+            kinds = {k for (k,) in asked.select("kind").distinct().collect()}  # nine at most
+            self.df = self.df.withColumns({raw: shown_raw} | dict(zip(mine, own_keys)))
+            self.extra += [raw, *mine]
+            by_key = False
+            if keys and kinds - {"empty", "glob", "text"}:
+                sizes = self.table.df.select(*[norm(k).alias(a) for k, a in zip(ranges, aliases[1:])]).unionByName(asked.select(*aliases[1:])).groupBy(*aliases[1:]).count()
+                by_key = (sizes.agg(F.max("count")).first()[0] or 0) <= KEY_ROWS
+            self.asked[same_asked] = raw, mine, asked, kinds, by_key, aliases
+        raw, mine, asked, kinds, by_key, old = self.asked[same_asked]
+        asked = asked.withColumnsRenamed(dict(zip(old, aliases)))
         found = []
 
         known = cells.filter("x is not null")
         points = asked.filter("kind not in ('empty', 'glob', 'text')")
 
         def numbers() -> DataFrame:
+            if by_key:
+                cols = [*aliases, "x", "raw", "kind", *totals]
+                own = {"n": F.lit(1.0), "s": F.coalesce("a", F.lit(0.0)), "m": F.col("a").isNotNull().cast("double")}
+                rows = known.withColumns(own | {x: F.lit(None).cast("string") for x in ("raw", "kind")}).select(*cols)
+                rows = rows.unionByName(points.withColumnRenamed("num", "x").withColumns({k: F.lit(0.0) for k in totals}).select(*cols))
+                key, here = Window.partitionBy(*aliases[1:]), Window.partitionBy(*aliases[1:], "x")
+                upto = key.orderBy("x").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+                sums = [F.sum(k).over(w).alias(f"{p}_{k}") for k in totals for p, w in (("own", here), ("upto", upto), ("all", key))]
+                return rows.select(*aliases, "raw", "kind", *sums).filter("raw is not null").withColumnsRenamed({f"own_{k}": k for k in totals})
             grid = by(known, "x").unionByName(points.select(*aliases, F.col("num").alias("x"), *[F.lit(0.0).alias(k) for k in totals]).distinct())
             grid = ranks.prefix_totals(grid, aliases, "x", **again)
             whole = by(known).select(*aliases, *[F.col(k).alias(f"all_{k}") for k in totals])
@@ -323,9 +345,10 @@ class _RowPlan:
             found.append(asked.filter("kind = 'empty'").join(by(cells.filter("e")), aliases).select("raw", *aliases, *totals))
         found = functools.reduce(DataFrame.unionByName, found)
         out = [fresh("t") for _ in totals]
-        found = found.select(F.col("raw").alias(f"{raw}_"), *[F.col(a).alias(f"{a}_") for a in aliases[1:]], *[F.col(k).alias(o) for k, o in zip(totals, out)])
-        self.df = self.df.join(found, [F.col(raw) == F.col(f"{raw}_"), *[F.col(m) == F.col(f"{a}_") for m, a in zip(mine, aliases[1:])]], "left")
-        self.extra += [raw, *mine, *found.columns]
+        names = [fresh("q"), *[f"{a}_" for a in aliases[1:]]]
+        found = found.groupBy(F.col("raw").alias(names[0]), *[F.col(a).alias(n) for a, n in zip(aliases[1:], names[1:])]).agg(*[F.max(k).alias(o) for k, o in zip(totals, out)])
+        self.df = self.df.join(found, [F.col(m) == F.col(n) for m, n in zip([raw, *mine], names)], "left")
+        self.extra += found.columns
         n, total, amounts = (F.coalesce(F.col(o), F.lit(0.0)) for o in out)
         if name.startswith("AVERAGE"):
             return C.num(F.try_divide(total, amounts), C.errs(c, C.when_error(amounts == 0, "#DIV/0!")))

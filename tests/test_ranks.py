@@ -78,6 +78,33 @@ def test_row_criteria_equal_cells(frame, criterion):
             assert same(r.v, sum(x[2] or 0 for x in hit if x[1] == "a")), (criterion, cells, r)
 
 
+@pytest.mark.parametrize("limit", [100_000, 10])
+def test_row_criteria_of_keys_by_key_and_by_ranges(frame, monkeypatch, limit):
+    """Running totals of small keys are added up by key, those of large ones by ranges; both equal the cells."""
+    from tabulon.operators import table
+
+    used = []
+    monkeypatch.setattr(table, "KEY_ROWS", limit)
+    monkeypatch.setattr(ranks, "prefix_totals", lambda *x, f=ranks.prefix_totals, **y: used.append(1) or f(*x, **y))
+    rows = some()
+    got = Table(frame.withColumn("j", F.col("i") % 3)).with_formula("v", '=SUMIFS([i],[j],[@j],[q],"<"&[@q],[s],"r*")-SUMIFS([i],[j],[@j],[q],"<"&[@q],[s],"red")').with_formula("w", '=AVERAGEIFS([i],[j],[@j],[q],">="&[@q])').with_formula("n", '=COUNTIFS([j],[@j],[q],"<>"&[@q])')
+    for r in got.df.collect():
+        if r.q is not None:
+            own = [x for x in rows if x[0] % 3 == r.i % 3]
+            low = [x for x in own if x[2] is not None and x[2] < r.q and (x[3] or "").lower().startswith("r")]
+            high = [x[0] for x in own if x[2] is not None and x[2] >= r.q]
+            assert same(r.v, sum(x[0] for x in low if x[3].lower() != "red")) and same(r.w, sum(high) / len(high))
+            assert r.n == sum(x[2] is not None and x[2] != r.q for x in own) + sum(x[2] is None for x in own) * criteria.matches(criteria.parse("<>1"), None)
+    assert bool(used) == (limit == 10)
+
+
+def test_row_criteria_are_joined_only_where_taken(frame):
+    """A formula's joins are not run again to answer the next one."""
+    t = Table(frame.withColumn("j", F.col("i") % 3)).with_formula("v", '=SUMIFS([i],[j],[@j],[q],"<"&[@q])')
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan(t.df.select("i", "v")) and "Join" not in plan(t.df.select("i", "j", "q"))
+
+
 def test_row_criteria_refuse_what_they_cannot(frame):
     with pytest.raises(FormulaError):
         Table(frame).with_formula("v", '=COUNTIFS([q],">"&[@q],[i],"<"&[@i])')
